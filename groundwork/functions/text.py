@@ -1,0 +1,149 @@
+"""Text columns: normalising, hidden content, lines, hosts, words, durations."""
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from groundwork import fixed
+
+
+@F.pandas_udf(StringType())
+def _compose(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def nfkc(text):
+    """Unicode compatibility form. Spark has no built-in, so this is the one UDF.
+
+    ASCII text is already in that form: it is passed over as NULL, so only rows
+    that can change cross to Python with their text.
+    """
+    return F.coalesce(_compose(F.when(~text.rlike(r"\A\p{ASCII}*\z"), text)), text)
+
+
+def plain_minus(text):
+    return F.translate(text, "−", "-")
+
+
+def strip(text):
+    return F.regexp_replace(text, rf"\A{fixed.SPACE}+|{fixed.SPACE}+\z", "")
+
+
+def lines(text):
+    return F.split(text, fixed.LINE_BREAK)
+
+
+def words(text):
+    """Number of whitespace-separated words."""
+    return F.size(F.filter(F.split(text, rf"{fixed.SPACE}+"), lambda w: w != "")).cast("bigint")
+
+
+def words_before_sources(text):
+    """Words of a rendered brief up to its Sources heading."""
+    return words(F.element_at(F.split(text, fixed.SOURCES_HEADING, 2), 1))
+
+
+def without_hidden(text):
+    """Text without comments and invisible characters (not yet normalised)."""
+    classes = "|".join(fixed.HIDDEN.values())
+    return F.regexp_replace(F.regexp_replace(text, fixed.HTML_COMMENT, ""), classes, "")
+
+
+def hidden_counts(text):
+    """What ``without_hidden`` takes out, as an array of (kind, characters)."""
+    bare = F.regexp_replace(text, fixed.HTML_COMMENT, "")
+    counts = [("html_comment", F.length(text) - F.length(bare))]
+    counts += [(kind, F.regexp_count(bare, F.lit(pattern))) for kind, pattern in fixed.HIDDEN.items()]
+    found = [F.when(n > 0, F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("count")))
+             for kind, n in counts]
+    return F.array_compact(F.array(*found))
+
+
+def host(url):
+    """Lower-case host name of a URL, NULL where it has none."""
+    found = F.regexp_extract(
+        url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
+def whole_token(text, token):
+    """Whether ``token`` occurs in ``text`` outside a longer word, in any case.
+
+    The token is a column, so its pattern is compiled per row; a plain
+    substring test goes first and spares most rows that cost.
+    """
+    pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), token, F.lit(r"\E(?![A-Za-z0-9_])"))
+    return F.when(F.contains(F.lower(text), F.lower(token)), text.rlike(pattern)).otherwise(False)
+
+
+def exchange_marker(text, ticker):
+    """Whether the text names its own listing, as in ``(NSE: TICKER)``."""
+    pattern = F.concat(F.lit(rf"(?iu)\(NSE:{fixed.SPACE}*\Q"), ticker, F.lit(rf"\E{fixed.SPACE}*\)"))
+    return F.when(F.contains(F.lower(text), F.lit("(nse:")), text.rlike(pattern)).otherwise(False)
+
+
+def source_ids(cites):
+    """Distinct source ids of unit ids, in numeric order (S2 before S10)."""
+    ids = F.array_distinct(F.transform(cites, lambda c: F.element_at(F.split(c, r"\."), 1)))
+    keyed = F.transform(ids, lambda s: F.struct(F.expr("0").alias("n"), s.alias("sid")))
+    keyed = F.transform(keyed, lambda k: F.struct(
+        F.coalesce(F.substring(k["sid"], 2, 20).try_cast("bigint"), F.lit(0).cast("bigint")).alias("n"),
+        k["sid"].alias("sid")))
+    return F.transform(F.array_sort(keyed), lambda k: k["sid"])
+
+
+def seconds(text):
+    """Seconds in a wait such as ``2m59.56s``, ``500ms`` or ``12.5``; NULL if it is none."""
+    value = strip(F.lower(text))
+    factors = F.create_map(*[F.lit(x) for pair in
+                             (("ms", 0.001), ("s", 1.0), ("m", 60.0), ("h", 3600.0), ("d", 86400.0))
+                             for x in pair])
+    parts = F.zip_with(
+        F.regexp_extract_all(value, F.lit(fixed.DURATION_PART), F.lit(1)),
+        F.regexp_extract_all(value, F.lit(fixed.DURATION_PART), F.lit(2)),
+        lambda n, u: n.cast("double") * factors[u])
+    total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    number = F.when(value.rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?$"), value.try_cast("double"))
+    result = F.when(value.rlike(fixed.DURATION), total).otherwise(number)
+    return F.when((result >= 0) & (result < float("inf")), result)
+
+
+def safe_code(code):
+    """Provider error codes that are safe to keep: a short name, no account prefix."""
+    prefixed = "^(?:" + "|".join(fixed.CODE_PREFIXES) + ")"
+    return F.when(code.rlike(fixed.CODE_SHAPE) & ~code.rlike(prefixed), code)
+
+
+def without_secret_keys(entries):
+    """A map column without entries that carry credentials or headers."""
+    return F.map_filter(entries, lambda k, _: ~F.lower(k).isin(*fixed.SECRET_KEYS))
+
+
+def masked(text, secret):
+    """Text with a known secret replaced; empty and public keys are left alone."""
+    return F.when((secret != "") & (secret != "public"),
+                  F.replace(text, secret, F.lit("[redacted]"))).otherwise(text)
+
+
+def canonical_json(entries):
+    """JSON of a string map with its keys in order, fit for hashing."""
+    pairs = F.transform(
+        F.array_sort(F.map_entries(entries)),
+        lambda e: F.substring(F.to_json(F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))), 2, 1 << 30))
+    inner = F.transform(pairs, lambda p: F.regexp_replace(p, r"\}\z", ""))
+    return F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}"))
+
+
+def claim_key(section, text, kind, cites):
+    """One hash for a claim with its section; equal claims have equal keys."""
+    return F.sha2(F.to_json(F.struct(
+        section.alias("a"), F.transform(cites, lambda c: c).alias("cites"), kind.alias("kind"), text.alias("text"))), 256)
+
+
+def glossary(text):
+    """Terms with a general definition that the text uses, in fixed order."""
+    hits = [F.when(text.rlike(pattern), F.struct(F.lit(name).alias("term"), F.lit(meaning).alias("definition")))
+            for pattern, name, meaning in fixed.TERMS]
+    return F.array_compact(F.array(*hits))
