@@ -61,7 +61,7 @@ RANGE_UNIT = (
     rf"(percent|%|bps|basis points|crore|lakh){END})"
 )
 RANGE_HYPHEN = rf"(?<={DIGIT})[ \t]*[-–][ \t]*(?={DIGIT})"
-PERIOD = rf"(?iu){START}(?:Q{SPACE}*[1-4]|H{SPACE}*[12]|FY{SPACE}*{DIGIT}{{2,4}}){END}"
+PERIOD = rf"(?iu)(?=[qhf]){START}(?:Q{SPACE}*[1-4]|H{SPACE}*[12]|FY{SPACE}*{DIGIT}{{2,4}}){END}"
 BARE_YEAR = rf"^(?:19|20|21){DIGIT}{{2}}$"
 TABLE_MONEY = rf"(?iu)(?:₹|{START}Rs\.?){SPACE}*(crore|lakh){END}"
 CRORE_EXPONENT = 7
@@ -74,7 +74,7 @@ MONTH_ABBREVIATIONS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "
 MONTH_NAME = ("September|February|November|December|January|October|August|March|April|June|July|Sept"
               "|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec")
 FULL_DATE = (
-    rf"(?iu){START}(?:{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}"
+    rf"(?iu)(?=[\p{{Nd}}jfmasond]){START}(?:{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}"
     rf"|{DIGIT}{{1,2}}{SPACE}+(?:{MONTH_NAME})\.?{SPACE}+{DIGIT}{{4}}"
     rf"|(?:{MONTH_NAME})\.?{SPACE}+{DIGIT}{{1,2}},?{SPACE}+{DIGIT}{{4}}){END}"
 )
@@ -188,7 +188,7 @@ SIMPLE_TOPICS = {
         rf"penalt{WORD}*|fines?|investigation{WORD}*|defaults?|contingen{WORD}*|material{SPACE}+impact){END}"),
 }
 PERIOD_LABEL = (
-    rf"(?iu){START}(?:(?:(?:Q{SPACE}*[1-4]|H{SPACE}*[12]){SPACE}*)?FY{SPACE}*{DIGIT}{{2,4}}(?:{SPACE}*[-–]{SPACE}*{DIGIT}{{2,4}})?"
+    rf"(?iu)(?=[qhf]){START}(?:(?:(?:Q{SPACE}*[1-4]|H{SPACE}*[12]){SPACE}*)?FY{SPACE}*{DIGIT}{{2,4}}(?:{SPACE}*[-–]{SPACE}*{DIGIT}{{2,4}})?"
     rf"|Q{SPACE}*[1-4]|H{SPACE}*[12]){END}"
 )
 LOOSE_DATE = (

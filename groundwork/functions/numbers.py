@@ -13,29 +13,30 @@ from groundwork import fixed
 from groundwork.functions.bind import empty, let
 from groundwork.functions.text import lines, plain_minus
 
-# Two private characters mark numbers that inherit a table's currency. They are
-# first taken out of the text itself.
-_CRORE, _LAKH, _OTHER = "\uf8f0", "\uf8f1", "\uf8f2"
+# Private characters used as marks. They are first taken out of the text itself.
+_CRORE, _LAKH, _FOUND, _FIELD, _REST, _OTHER = "\uf8f0", "\uf8f1", "\uf8f2", "\uf8f3", "\uf8f4", "\uf8f5"
+_MARKS = _CRORE + _LAKH + _FOUND + _FIELD + _REST
 
 _DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd")
 _ASCII = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
-_PREFIX = (
-    rf"(?:{fixed.START}(?:{fixed.DOWN_WORDS}|{fixed.UP_WORDS}){fixed.SPACE}*+"
-    rf"|(?:{fixed.START}(?:{fixed.APPROX_WORDS})|~){fixed.SPACE}*+(?:(?:₹|Rs\.?){fixed.SPACE}*+)?+"
-    rf"|(?:₹|{fixed.START}Rs\.?){fixed.SPACE}*+)?+"
+# Groups: 1 downward word, 2 and 5 approximation, 3, 4, 6 and 7 currency, 8 number, 9 table
+# currency, 10 unit. The leading class turns most positions away before any look-behind.
+# No group sits inside a possessive quantifier: Java would keep its text from a failed start.
+_QUANTITY = (
+    rf"(?iu)(?=[-+.~₹\p{{Nd}}dfcruigea])(?:(?=[dfcruigea]){fixed.START}(?:"
+    rf"(?:({fixed.DOWN_WORDS})|{fixed.UP_WORDS}){fixed.SPACE}*+"
+    rf"|({fixed.APPROX_WORDS}){fixed.SPACE}*+(?:(₹|Rs\.?){fixed.SPACE}*+)?"
+    rf"|(Rs\.?){fixed.SPACE}*+)"
+    rf"|(~){fixed.SPACE}*+(?:(₹|Rs\.?){fixed.SPACE}*+)?|(₹){fixed.SPACE}*+)?"
+    rf"((?=[-+.\p{{Nd}}]){fixed.NUMBER})([{_CRORE}{_LAKH}]?+)(?:{fixed.SPACE}*+({fixed.UNIT}))?"
 )
-_QUANTITY = rf"(?iu){_PREFIX}{fixed.NUMBER}[{_CRORE}{_LAKH}]?+(?:{fixed.SPACE}*+(?:{fixed.UNIT}))?"
-_TOKEN = rf"[-+]?(?:{fixed.DIGIT}[{fixed.DIGIT},]*(?:\.{fixed.DIGIT}+)?|\.{fixed.DIGIT}+)"
-_LABEL = rf"(?iu){fixed.DIGIT}[{_CRORE}{_LAKH}]?{fixed.SPACE}*(%|percent|bps|basis|crore|lakh|times|x)"
-_DOWNWARD = rf"(?iu)^(?:{fixed.DOWN_WORDS}){fixed.SPACE}*[.\p{{Nd}}]"
-_ABOUT = rf"(?iu)^(?:{fixed.APPROX_WORDS}|~)"
-_MONEY_SIGN = rf"(?iu)(?:₹|{fixed.START}Rs\.?){fixed.SPACE}*[-+.\p{{Nd}}]"
+_TAGGED = _FOUND + _FIELD.join(("$1", "$2$5", "$3$4$6$7", "$8", "$9", "$10")) + _REST
 
 
 def ascii_digits(text):
     """Decimal digits of any script as 0 to 9."""
-    return F.translate(text, _DIGITS, _ASCII)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, _DIGITS, _ASCII)).otherwise(text)
 
 
 def dates(text):
@@ -46,15 +47,17 @@ def dates(text):
 
 def _date_value(raw):
     iso = F.when(raw.rlike(fixed.ISO_DATE) & ~raw.startswith("0000"), raw.try_cast("date"))
-    parts = F.split(F.translate(raw, ",.", ""), rf"{fixed.SPACE}+")
-    day_first = parts[0].rlike(r"^\p{Nd}+$")
-    day = F.lpad(ascii_digits(F.when(day_first, parts[0]).otherwise(parts[1])), 2, "0")
-    name = F.lower(F.substring(F.when(day_first, parts[1]).otherwise(parts[0]), 1, 3))
     months = F.array(*[F.lit(m.lower()) for m in fixed.MONTH_ABBREVIATIONS])
-    month = F.lpad(F.array_position(months, name).cast("string"), 2, "0")
-    year = ascii_digits(parts[2])
-    written = F.when(year != "0000", F.concat_ws("-", year, month, day).try_cast("date"))
-    return F.when(raw.contains("-"), iso).otherwise(written)
+
+    def written(parts):
+        day_first = F.length(parts[0]) <= 2
+        day, name = F.when(day_first, parts[0]).otherwise(parts[1]), F.when(day_first, parts[1]).otherwise(parts[0])
+        month = F.array_position(months, F.lower(F.substring(name, 1, 3))).cast("string")
+        return F.when(parts[2] != "0000", F.concat_ws(
+            "-", parts[2], F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"))
+
+    return F.when(raw.contains("-"), iso).otherwise(
+        let(F.split(ascii_digits(F.translate(raw, ",.", "")), rf"{fixed.SPACE}+"), written))
 
 
 def _with_table_currency(text):
@@ -103,40 +106,34 @@ def quantities(text):
     equality is a string test at any length; ``value`` is the same as a decimal
     for rounding. Dates, period labels and bare years are no numbers.
     """
-    t = F.translate(plain_minus(text), _CRORE + _LAKH, _OTHER * 2)
+    t = F.translate(text, "−" + _MARKS, "-" + _OTHER * len(_MARKS))
     t = F.regexp_replace(t, fixed.FULL_DATE, " ")
     t = F.regexp_replace(t, fixed.PERIOD, " ")
     t = F.regexp_replace(t, fixed.RANGE_HYPHEN, " ")
     t = F.regexp_replace(t, fixed.RANGE_UNIT, " $1")
-    found = let(t, lambda t: F.regexp_extract_all(F.when(
-        t.rlike(rf"(?m)^{fixed.SPACE}*\|") & t.rlike(fixed.TABLE_MONEY), _with_table_currency(t)).otherwise(t),
-        F.lit(_QUANTITY), F.lit(0)))
-    units = F.transform(F.transform(found, _piece), _unit)
-    kept = F.filter(units, lambda q: ~((q["dimension"] == "scalar") & q["text"].rlike(fixed.BARE_YEAR)))
+    marked = let(t, lambda t: F.when(
+        t.rlike(rf"(?m)^{fixed.SPACE}*\|") & t.rlike(fixed.TABLE_MONEY), _with_table_currency(t)).otherwise(t))
+    # One pass tags every number with its parts; the rest is splitting at marks.
+    tagged = F.split(F.regexp_replace(marked, _QUANTITY, _TAGGED), _FOUND)
+    pieces = F.transform(F.slice(tagged, 2, 1 << 30), lambda c: F.split(F.substring_index(c, _REST, 1), _FIELD))
+    kept = F.filter(F.transform(pieces, _unit), lambda q: ~(
+        (q["dimension"] == "scalar") & q["text"].rlike(fixed.BARE_YEAR)))
     return F.when(text.rlike(r"\p{Nd}"), F.transform(F.transform(kept, _digits), _value)).otherwise(empty(QUANTITY))
 
 
-def _piece(c):
-    return F.struct(
-        F.regexp_extract(c, _TOKEN, 0).alias("text"),
-        F.lower(F.regexp_extract(c, _LABEL, 1)).alias("label"),
-        F.when(c.contains(_CRORE), fixed.CRORE_EXPONENT).when(c.contains(_LAKH), fixed.LAKH_EXPONENT).alias("table"),
-        c.rlike(_MONEY_SIGN).alias("money"),
-        c.rlike(_DOWNWARD).alias("down"),
-        c.rlike(_ABOUT).alias("approx"))
-
-
-def _unit(q):
-    label = q["label"]
-    dimension = (F.when(label == "", F.when(q["money"] | q["table"].isNotNull(), "rupees").otherwise("scalar"))
-                 .when(label.isin("%", "percent"), "percent").when(label.isin("bps", "basis"), "bps")
+def _unit(c):
+    down, approx, money, table = (c[i] != "" for i in (0, 1, 2, 4))
+    number, mark, label = c[3], c[4], F.lower(c[5])
+    dimension = (F.when(label == "", F.when(money | table, "rupees").otherwise("scalar"))
+                 .when(label.isin("%", "percent"), "percent").when(label.startswith("b"), "bps")
                  .when(label.isin("times", "x"), "ratio").otherwise("rupees"))
-    exponent = (F.when(label == "crore", fixed.CRORE_EXPONENT).when(label == "lakh", fixed.LAKH_EXPONENT)
-                .when((label == "") & ~q["money"], F.coalesce(q["table"], F.lit(0))).otherwise(0))
-    negative = q["text"].startswith("-") | (q["down"] & ~q["text"].startswith("+"))
+    exponent = (F.when(label.startswith("crore"), fixed.CRORE_EXPONENT).when(label.startswith("lakh"), fixed.LAKH_EXPONENT)
+                .when((label == "") & ~money, F.when(mark == _CRORE, fixed.CRORE_EXPONENT)
+                      .when(mark == _LAKH, fixed.LAKH_EXPONENT).otherwise(0)).otherwise(0))
     return F.struct(
-        q["text"].alias("text"), dimension.alias("dimension"), exponent.alias("exponent"),
-        ascii_digits(F.translate(q["text"], "-+,", "")).alias("bare"), negative.alias("negative"), q["approx"].alias("approx"))
+        number.alias("text"), dimension.alias("dimension"), exponent.alias("exponent"),
+        ascii_digits(F.translate(number, "-+,", "")).alias("bare"),
+        (number.startswith("-") | (down & ~number.startswith("+"))).alias("negative"), approx.alias("approx"))
 
 
 def _digits(q):
