@@ -189,11 +189,15 @@ def number_errors(text, evidence, date_context):
     ``text`` and ``evidence`` are normalised already; ``date_context`` adds days
     (titles, publication dates) and no numbers.
     """
+    return let(evidence, lambda ev: F.concat(_date_errors(text, ev, date_context), _quantity_errors(text, ev)))
+
+
+def _date_errors(text, evidence, date_context):
     days = F.transform(F.concat(dates(evidence), dates(date_context)), lambda d: d["value"])
-    missing_days = let(days, lambda known: F.transform(undated(dates(text), known), lambda d: F.concat(
+    return let(days, lambda known: F.transform(undated(dates(text), known), lambda d: F.concat(
         F.lit("Date "), d["raw"], F.lit(" is not found in the cited source"))))
-    missing = let(quantities(evidence), lambda known: F.transform(
-        unsupported(quantities(text), known), lambda q: F.concat(
-            F.lit("Number "), q["text"], F.lit(" ("), q["dimension"],
-            F.lit(") is not supported by the cited quotes"))))
-    return F.concat(missing_days, missing)
+
+
+def _quantity_errors(text, evidence):
+    return let(quantities(evidence), lambda known: F.transform(unsupported(quantities(text), known), lambda q: F.concat(
+        F.lit("Number "), q["text"], F.lit(" ("), q["dimension"], F.lit(") is not supported by the cited quotes"))))

@@ -122,9 +122,8 @@ def _window(units, u, i, title):
 
 def with_outline(documents, body="body"):
     """Add ``title`` and ``passages`` (array of units) to documents."""
-    read = documents.withColumn("_outline", outline(F.col(body)))
-    return read.select(*[F.col(c) for c in documents.columns],
-                       F.col("_outline.title").alias("title"), F.col("_outline.units").alias("passages"))
+    # A generator row makes Spark compute the outline once; two plain columns would each compute it.
+    return documents.select("*", F.inline(F.array(outline(F.col(body))))).withColumnRenamed("units", "passages")
 
 
 def units(documents, keep=("pack_id", "sid"), windows=False):
@@ -146,33 +145,39 @@ def units(documents, keep=("pack_id", "sid"), windows=False):
                        *[F.col(f"_u.{c}").alias(c) for c in columns])
 
 
+def _line_cells(line):
+    return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"),
+                       lambda c: F.replace(strip(c), F.lit("**"), F.lit("")))
+
+
+def _passage_table(quote):
+    """(caption, rows of cells) of a passage that is a well-formed table, else NULL."""
+    def rule(cells):
+        return F.forall(cells, lambda c: c.rlike(r"^:?-{3,}:?$"))
+
+    def read(lines, first):
+        closed = F.forall(F.slice(lines, first, F.size(lines)), lambda t: t.startswith("|") & t.endswith("|"))
+        rows = F.transform(F.slice(lines, first, F.size(lines)), _line_cells)
+        caption = F.when(first == 2, F.replace(F.get(lines, 0), F.lit("**"), F.lit("")))
+        return let(rows, lambda r: let(F.size(F.get(r, 0)), lambda width: F.when(
+            closed & (F.size(r) >= 3) & (width >= 2) & F.forall(r, lambda c: F.size(c) == width) & rule(F.get(r, 1))
+            & ~F.exists(F.slice(r, 3, F.size(r)), rule),
+            F.struct(caption.alias("caption"), F.concat(F.slice(r, 1, 1), F.slice(r, 3, F.size(r))).alias("cells")))))
+
+    trimmed = F.filter(F.transform(F.split(quote, "\n"), strip), lambda t: t != "")
+    place = let(trimmed, lambda lines: let(
+        F.array_position(F.transform(lines, lambda t: t.startswith("|")), True).cast("int"),
+        lambda first: F.when(first.isin(1, 2), read(lines, first))))
+    return F.when(quote.contains("|") & ~quote.contains("\\|"), place)
+
+
 def table_cells(passages, quote="quote"):
     """Cells of table passages as (row, col, cell, header, caption); other passages give no rows.
 
     A passage is a table when it has a rule under its first row, every line is
     closed by pipes, and all rows have the same width of two or more.
     """
-    def cells(line):
-        return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"),
-                           lambda c: F.replace(strip(c), F.lit("**"), F.lit("")))
-
-    def rule(line):
-        return F.forall(cells(line), lambda c: c.rlike(r"^:?-{3,}:?$"))
-
-    trimmed = F.filter(F.transform(F.split(F.col(quote), "\n"), strip), lambda t: t != "")
-    first = F.array_position(F.transform(F.col("_lines"), lambda t: t.startswith("|")), True)
-    rows = passages.withColumn("_lines", trimmed).withColumn("_first", first)
-    rows = rows.filter(F.col("_first").isin(1, 2) & ~F.col(quote).contains("\\|"))
-    rows = rows.withColumn("_rows", F.slice("_lines", F.col("_first").cast("int"), F.size("_lines")))
-    width = F.size(cells(F.col("_rows")[0]))
-    body = F.slice("_rows", 3, F.size("_rows"))
-    valid = ((F.size("_rows") >= 3) & F.forall("_rows", lambda t: t.startswith("|") & t.endswith("|"))
-             & (width >= 2) & rule(F.get(F.col("_rows"), 1)) & F.forall("_rows", lambda t: F.size(cells(t)) == width)
-             & ~F.exists(body, rule))
-    rows = rows.filter(valid)
-    caption = F.when(F.col("_first") == 2, F.replace(F.col("_lines")[0], F.lit("**"), F.lit("")))
-    shown = F.concat(F.slice("_rows", 1, 1), body)
     keep = [c for c in passages.columns]
-    rows = rows.select(*keep, caption.alias("caption"), F.posexplode(shown).alias("row", "_line"))
-    return rows.select(*keep, "caption", "row", (F.col("row") == 0).alias("header"),
-                       F.posexplode(cells(F.col("_line"))).alias("col", "cell"))
+    rows = passages.select(*keep, F.inline(F.array_compact(F.array(_passage_table(F.col(quote))))))
+    rows = rows.select(*keep, "caption", F.posexplode("cells").alias("row", "_cells"))
+    return rows.select(*keep, "caption", "row", (F.col("row") == 0).alias("header"), F.posexplode("_cells").alias("col", "cell"))

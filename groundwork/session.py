@@ -16,6 +16,7 @@ def build(app="groundwork", cores=None, **conf):
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
@@ -28,6 +29,16 @@ def build(app="groundwork", cores=None, **conf):
     return builder.getOrCreate()
 
 
+def prepare(spark):
+    """Runtime settings for text work after a shuffle.
+
+    Rows are cheap to move and costly to read, so small shuffles are split among all
+    cores instead of being merged into one task. Large shuffles exceed the minimum
+    anyway and keep the sizes adaptive execution gives them.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+
+
 def ensure_checkpoint_dir(spark):
     """Use the shared folder the cluster names; only a local session gets its own."""
     context = spark.sparkContext

@@ -60,22 +60,21 @@ def with_front_matter(documents, text="text"):
     The first fault found is kept, in the order a reader of the file meets them.
     """
     block = F.when(F.col(text).rlike(fixed.FRONT_MATTER), F.regexp_extract(F.col(text), fixed.FRONT_MATTER, 1))
-    rows = documents.withColumn("_block", block)
-    rows = rows.withColumn("_read", let(_entries(F.col("_block")), lambda e: F.struct(
-        _first_fault(e).alias("fault"), *[_field(e, name).alias(name) for name in fixed.REQUIRED_FIELDS])))
+    read = let(block, lambda b: let(_entries(b), lambda e: F.struct(
+        F.when(b.isNull(), "missing or unterminated front matter").otherwise(_first_fault(e)).alias("_fault"),
+        *[_field(e, name).alias(f"_{name}") for name in fixed.REQUIRED_FIELDS])))
+    # The generator row keeps Spark from parsing once per field.
+    rows = documents.select("*", F.inline(F.array(read)))
     missing = F.array_join(F.array_compact(F.array(*[
-        F.when(F.coalesce(F.col(f"_read.{name}"), F.lit("")) == "", name) for name in fixed.REQUIRED_FIELDS])), ", ")
-    published = F.col("_read.published")
+        F.when(F.coalesce(F.col(f"_{name}"), F.lit("")) == "", name) for name in fixed.REQUIRED_FIELDS])), ", ")
+    published = F.col("_published")
     day = F.when(published.rlike(fixed.ISO_DATE) & ~published.startswith("0000"), published.try_cast("date"))
-    fault = (F.when(F.col("_block").isNull(), "missing or unterminated front matter")
-             .when(F.col("_read.fault").isNotNull(), F.col("_read.fault"))
-             .when(missing != "", F.concat(F.lit("missing front matter fields: "), missing))
-             .when(day.isNull(), "published must be an ISO date"))
+    fault = F.coalesce(F.col("_fault"), F.when(missing != "", F.concat(F.lit("missing front matter fields: "), missing)),
+                       F.when(day.isNull(), "published must be an ISO date"))
     body = strip(F.regexp_replace(F.col(text), fixed.FRONT_MATTER, ""))
     keep = [c for c in documents.columns if c != text]
-    return rows.select(*keep, F.col("_read.source").alias("source"), F.col("_read.url").alias("url"),
-                       day.alias("published"), F.lower("_read.type").alias("source_type"),
-                       body.alias("body"), fault.alias("fault"))
+    return rows.select(*keep, F.col("_source").alias("source"), F.col("_url").alias("url"), day.alias("published"),
+                       F.lower("_type").alias("source_type"), body.alias("body"), fault.alias("fault"))
 
 
 def cleaned(files):
