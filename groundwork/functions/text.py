@@ -75,13 +75,13 @@ def whole_token(text, token):
     substring test goes first and spares most rows that cost.
     """
     pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"), token, F.lit(r"\E(?![A-Za-z0-9_])"))
-    return F.when(F.contains(F.lower(text), F.lower(token)), text.rlike(pattern)).otherwise(False)
+    return F.when(F.contains(F.lower(text), F.lower(token)), F.regexp_like(text, pattern)).otherwise(False)
 
 
 def exchange_marker(text, ticker):
     """Whether the text names its own listing, as in ``(NSE: TICKER)``."""
     pattern = F.concat(F.lit(rf"(?iu)\(NSE:{fixed.SPACE}*\Q"), ticker, F.lit(rf"\E{fixed.SPACE}*\)"))
-    return F.when(F.contains(F.lower(text), F.lit("(nse:")), text.rlike(pattern)).otherwise(False)
+    return F.when(F.contains(F.lower(text), F.lit("(nse:")), F.regexp_like(text, pattern)).otherwise(False)
 
 
 def source_ids(cites):

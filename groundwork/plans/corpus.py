@@ -14,21 +14,25 @@ from groundwork.sources.tables import read, spread
 AS_OF = "2001-08-02"
 
 # Shared by all oracles: one row per order with the values its texts are made of.
-BASE_SQL = f"""
+def base_sql(as_of=AS_OF, pack="'pack' || c"):
+    return f"""
 o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS p,
         CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS d FROM orders),
-f AS (SELECT *, 'pack' || c AS pack_id, cents % 97 + 1 AS pct, cents % 1000003 + 3000 AS debt,
+f AS (SELECT *, {pack} AS pack_id, cents % 97 + 1 AS pct, cents % 1000003 + 3000 AS debt,
         'https://ir.cust' || c || '.example.com/' || k AS url, CAST(d AS VARCHAR) AS ds,
         CAST(day(d) AS VARCHAR) || ' ' || monthname(d) || ' ' || CAST(year(d) AS VARCHAR) AS longdate,
-        date_diff('day', d, DATE '{AS_OF}') AS age,
+        date_diff('day', d, DATE '{as_of}') AS age,
         CASE p WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 ELSE 3 END AS tier,
         CASE p WHEN '1-URGENT' THEN 'official exchange filing' WHEN '2-HIGH' THEN 'official company filing'
                WHEN '3-MEDIUM' THEN 'Official Company Transcript' WHEN '4-NOT SPECIFIED' THEN 'news article' ELSE 'interview' END AS type
       FROM o),
-n AS (SELECT *, 'S' || row_number() OVER (PARTITION BY c ORDER BY d, url) AS sid FROM f)
+n AS (SELECT *, 'S' || row_number() OVER (PARTITION BY pack_id ORDER BY d, url) AS sid FROM f)
 """
 
 
+BASE_SQL = base_sql()
+
+
 def orders(spark, sf):
     """Order rows with the values their texts are made of."""
     rows = spread(read(spark, sf, "orders").select(
@@ -68,16 +72,18 @@ def files(spark, sf):
     return rows.select("pack_id", "filename", F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
-def filings(spark, sf, keep=()):
+def filings(spark, sf, keep=(), as_of=AS_OF, pack=None):
     """Filings as parsed, numbered and aged documents, without going through files."""
     rows = orders(spark, sf)
+    if pack is not None:
+        rows = rows.withColumn("pack_id", pack)
     raw = body_text()
     rows = rows.select(
         "pack_id", "filename", F.concat(F.lit("Order desk "), "s").alias("source"), "url", "published",
         F.lower("type").alias("source_type"), F.sha2(F.concat("pack_id", "filename"), 256).alias("sha256"),
         hidden_counts(raw).alias("removals"), without_hidden(raw).alias("body"),
         *[c for c in ("k", "c", "s", "p", "cents", "pct", "debt") if c in keep or c == "k"])
-    return packs.aged(packs.numbered(rows), AS_OF)
+    return packs.aged(packs.numbered(rows), as_of)
 
 
 def with_route(documents):
@@ -114,8 +120,9 @@ def claims(documents):
                             kind.alias("kind"), cites.alias("cites"))
 
 
-# The same claims in SQL, with the errors each must get.
-CLAIM_SQL = BASE_SQL + """,
+def claim_sql(base):
+    """The same claims in SQL, with the errors each must get."""
+    return base + """,
 cl AS (SELECT *,
    CASE WHEN s = 'O' THEN cents + 100 ELSE cents END AS stated,
    CASE WHEN p IN ('1-URGENT', '5-LOW') THEN 'snapshot' WHEN p = '2-HIGH' THEN 'bull' WHEN p = '3-MEDIUM' THEN 'bear' ELSE 'open_questions' END AS section,
@@ -140,3 +147,6 @@ er AS (SELECT *,
    CASE WHEN pct = 33 THEN 'Use a comma or period instead of an em dash' END) AS errors
    FROM cl)
 """
+
+
+CLAIM_SQL = claim_sql(BASE_SQL)
