@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groundwork import fixed
+from groundwork import fixed, session
 from groundwork.functions.text import host
 from groundwork.operators import grounding, routing, segment, verdicts
 from groundwork.plans import corpus
@@ -202,9 +202,9 @@ fin AS (SELECT *, final_errors = '' AND NOT (judged AND ranswered AND (tconflict
 def judged_claims(spark, sf):
     """Claims of small packs with their answers: (checked, units, documents, answers)."""
     small = F.concat(F.lit("pack"), "c", F.lit("-"), "s", F.lit("-"), F.date_format("published", "yyyy"))
-    docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt"), pack=small))
-    units = corpus.filing_units(docs, keep=("pack_id", "sid", "admitted", "title", "published", "age_days", "tier"))
-    keyed = verdicts.with_key(corpus.claims(docs))
+    docs = session.stage(corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt"), pack=small)))
+    units = session.stage(corpus.filing_units(docs, keep=("pack_id", "sid", "admitted", "title", "published", "age_days", "tier")))
+    keyed = session.stage(verdicts.with_key(corpus.claims(docs)))
     high = docs.filter((F.col("status") == "evidence") & (F.col("tier") <= 2))
     pick = high.groupBy("pack_id").agg(F.max_by("sid", "k").alias("pick"))
     rows = keyed.join(docs.select(F.col("k").alias("claim_id"), "cents", "debt"), "claim_id").join(pick, "pack_id", "left")

@@ -51,3 +51,13 @@ def ensure_checkpoint_dir(spark):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="groundwork-checkpoint-"))
     else:
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
+
+
+def stage(rows):
+    """Rows written once to the shared checkpoint folder, for tables that several steps read.
+
+    Costs one write and spares each reader the whole computation; lost executors do
+    not matter, since the files are not theirs.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
