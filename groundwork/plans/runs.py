@@ -394,14 +394,14 @@ def newest_runs(spark, sf):
 
 
 @query("review_templates", "WITH " + RESULT_SQL + """,
-b AS (SELECT * FROM fr WHERE accepted AND run_id % 10 <> 0)
+b AS (SELECT * FROM fr WHERE accepted AND run_id NOT IN (SELECT run_id FROM r WHERE s = 'P' AND section = 'snapshot'))
 SELECT run_id, 'claim' AS part, section || '.' || (k + 1) AS id, 'Order ' || k AS text FROM b
 UNION ALL SELECT run_id, 'trap', t, NULL FROM (SELECT DISTINCT run_id FROM b), unnest(['prompt_injection', 'company_identity', 'source_conflict', 'stale_pledge', 'forecast_vs_result', 'scope', 'legal_management_view']) x(t)""")
 def review_templates(spark, sf):
     """Unlabelled review rows for runs without a template."""
     rows = results(spark, sf)
     accepted = passes.final_results(rows, stages(rows)).filter("accepted")
-    existing = rows.filter(F.col("run_id") % 10 == 0).select("run_id")
+    existing = rows.filter((F.col("stage") == "repair") & (F.col("section") == "snapshot")).select("run_id")
     out = runs.review_templates(accepted.withColumn("section_no", F.lit(0)), existing)
     return out.select("run_id", "part", "id", F.when(F.col("part") == "claim", F.col("text")).alias("text"))
 
