@@ -6,6 +6,8 @@ only, so the few Unicode-aware pieces are spelled out once here.
 
 # --- character classes -------------------------------------------------------
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))  # the characters of SPACE
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 START = rf"(?<!{WORD})"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from groundwork import fixed
+from groundwork.functions.bind import empty, let
 
 
 @F.pandas_udf(StringType())
@@ -28,7 +29,7 @@ def plain_minus(text):
 
 
 def strip(text):
-    return F.regexp_replace(text, rf"\A{fixed.SPACE}+|{fixed.SPACE}+\z", "")
+    return F.btrim(text, F.lit(fixed.SPACE_CHARS))
 
 
 def lines(text):
@@ -45,20 +46,29 @@ def words_before_sources(text):
     return words(F.element_at(F.split(text, fixed.SOURCES_HEADING, 2), 1))
 
 
+_INVISIBLE = "[" + "".join(p.strip("[]") for p in fixed.HIDDEN.values()) + "]"
+
+
+def _without_comments(text):
+    """Most texts hold no comment, and a plain substring test says so."""
+    return F.when(text.contains("<!--"), F.regexp_replace(text, fixed.HTML_COMMENT, "")).otherwise(text)
+
+
 def without_hidden(text):
     """Text without comments and invisible characters (not yet normalised)."""
-    classes = "|".join(fixed.HIDDEN.values())
-    return F.regexp_replace(F.regexp_replace(text, fixed.HTML_COMMENT, ""), classes, "")
+    return F.regexp_replace(_without_comments(text), _INVISIBLE, "")
 
 
 def hidden_counts(text):
     """What ``without_hidden`` takes out, as an array of (kind, characters)."""
-    bare = F.regexp_replace(text, fixed.HTML_COMMENT, "")
-    counts = [("html_comment", F.length(text) - F.length(bare))]
-    counts += [(kind, F.regexp_count(bare, F.lit(pattern))) for kind, pattern in fixed.HIDDEN.items()]
-    found = [F.when(n > 0, F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("count")))
-             for kind, n in counts]
-    return F.array_compact(F.array(*found))
+    def count(bare):
+        counts = [("html_comment", F.length(text) - F.length(bare))]
+        counts += [(kind, F.when(bare.rlike(pattern), F.regexp_count(bare, F.lit(pattern))))
+                   for kind, pattern in fixed.HIDDEN.items()]
+        found = [F.when(n > 0, F.struct(F.lit(kind).alias("kind"), n.cast("bigint").alias("count"))) for kind, n in counts]
+        return F.when((F.length(bare) < F.length(text)) | bare.rlike(_INVISIBLE), F.array_compact(F.array(*found))).otherwise(
+            empty("struct<kind:string,count:bigint>"))
+    return let(_without_comments(text), count)
 
 
 def host(url):

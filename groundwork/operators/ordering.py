@@ -18,18 +18,17 @@ def number_rows(rows, keys, order, name, partitions=None):
     A window over the key would sort a hot key in one task. Here the order columns
     are range-partitioned, so a hot key spreads over many tasks; each task numbers
     its own stretch, and a small table of stretch sizes gives the offsets. The
-    sorted key columns are checkpointed, because range bounds are drawn from a
+    sorted key columns are written out, because range bounds are drawn from a
     sample and must not be drawn again between the two reads.
 
     ``order`` should be total within a key; it doubles as the row's identity when
     the numbers are joined back. Equal rows get numbers in arbitrary order.
     """
     spark = rows.sparkSession
-    session.ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [*keys, *order]
-    ranged = (rows.select(*columns).repartitionByRange(n, *columns).sortWithinPartitions(*columns)
-              .withColumn("_rid", F.monotonically_increasing_id()).checkpoint())
+    ranged = session.stage(rows.select(*columns).repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+                           .withColumn("_rid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_stretch", F.shiftright("_rid", 33))
     stretches = ranged.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"), F.min("_rid").alias("_first"))
     # One row per key and task: at most ``n`` rows in any window partition.

@@ -24,7 +24,7 @@ def sentences(paragraph):
 
 def line_class(line):
     """h(eading), t(able), b(ullet), p(aragraph) or '' of one stripped line."""
-    return (F.when(line == "", "").when(line.rlike(fixed.HEADING), "h").when(line.startswith("|"), "t")
+    return (F.when(line == "", "").when(line.startswith("#") & line.rlike(fixed.HEADING), "h").when(line.startswith("|"), "t")
             .when(line.rlike(fixed.BULLET), "b").otherwise("p"))
 
 

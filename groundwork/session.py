@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,10 +55,14 @@ def ensure_checkpoint_dir(spark):
 
 
 def stage(rows):
-    """Rows written once to the shared checkpoint folder, for tables that several steps read.
+    """Rows written once as Parquet in the shared checkpoint folder, for tables several steps read.
 
-    Costs one write and spares each reader the whole computation; lost executors do
-    not matter, since the files are not theirs.
+    One write spares each reader the whole computation, and readers still take only
+    the columns they need. Lost executors do not matter, since the files are not
+    theirs, and the known size lets Spark choose joins.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

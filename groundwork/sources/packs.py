@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groundwork import fixed
+from groundwork import fixed, session
 from groundwork.functions.bind import let
 from groundwork.functions.text import hidden_counts, lines, nfkc, strip, without_hidden
 from groundwork.operators import ordering, segment
@@ -121,7 +121,8 @@ def numbered(documents):
 
 def documents(files, as_of):
     """Accepted documents of a scan: numbered, aged, with title and passages."""
-    good = parsed(files).filter(F.col("fault").isNull()).drop("fault")
+    # Parsing costs far more than one write, and numbering reads the parsed rows twice.
+    good = session.stage(parsed(files).filter(F.col("fault").isNull()).drop("fault"))
     return segment.with_outline(aged(numbered(good), as_of))
 
 
