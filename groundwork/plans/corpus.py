@@ -6,6 +6,7 @@ it. The texts are plain functions of the row, so SQL can state what must come ou
 
 from pyspark.sql import functions as F
 
+from groundwork import session
 from groundwork.functions.text import hidden_counts, without_hidden
 from groundwork.operators import segment
 from groundwork.sources import packs
@@ -83,7 +84,7 @@ def filings(spark, sf, keep=(), as_of=AS_OF, pack=None):
         F.lower("type").alias("source_type"), F.sha2(F.concat("pack_id", "filename"), 256).alias("sha256"),
         hidden_counts(raw).alias("removals"), without_hidden(raw).alias("body"),
         *[c for c in ("k", "c", "s", "p", "cents", "pct", "debt") if c in keep or c == "k"])
-    return packs.aged(packs.numbered(rows), as_of)
+    return session.stage(packs.aged(packs.numbered(rows), as_of))
 
 
 def with_route(documents):

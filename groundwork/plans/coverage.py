@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from groundwork import session
 from groundwork.functions.text import nfkc
 from groundwork.functions.topics import figures, topics
 from groundwork.operators import coverage
@@ -96,7 +95,7 @@ cv AS (SELECT pack_id, topic, i, hits, claims, CASE WHEN claims > 0 THEN unc ELS
 
 def inputs(spark, sf):
     """(packs, units, claims): all filings, and claims accepted for shipped orders."""
-    docs = session.stage(corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt"))))
+    docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt")))
     units = corpus.filing_units(docs, keep=KEEP)
     shipped = docs.select(F.col("k").alias("claim_id"), (F.col("s") == "F").alias("accepted"))
     claims = corpus.claims(docs).join(shipped, "claim_id")

@@ -81,13 +81,11 @@ def unscreened_routing(spark, sf):
 
 
 @query("evidence_payload", "WITH " + SCREEN_SQL + """
-SELECT pack_id, CAST(count(*) FILTER (WHERE status = 'evidence') AS BIGINT) AS admitted, CAST(5 * count(*) FILTER (WHERE status = 'evidence') AS BIGINT) AS passages,
+SELECT pack_id, CAST(count(*) FILTER (WHERE status = 'evidence') AS BIGINT) AS admitted, CAST(6 * count(*) FILTER (WHERE status = 'evidence') AS BIGINT) AS passages,
   CAST(count(*) FILTER (WHERE status <> 'evidence') AS BIGINT) AS withheld FROM rt GROUP BY pack_id""")
 def evidence_payload(spark, sf):
     """Admitted documents with passages, and the withheld ones by name."""
-    docs = corpus.filings(spark, sf, keep=("c", "s", "p", "cents", "pct", "debt"), as_of=SCREEN_DAY)
-    plain = docs.select("pack_id", "sid", F.col("body").alias("_body"))
-    rows = routed(spark, sf).join(plain, ["pack_id", "sid"]).withColumn("body", F.col("_body")).drop("_body")
+    rows = session.stage(routed(spark, sf))
     admitted, withheld = routing.payload(segment.with_outline(rows))
     a = admitted.groupBy("pack_id").agg(F.count("*").alias("admitted"), F.sum(F.size("passages")).alias("passages"))
     b = withheld.groupBy("pack_id").agg(F.count("reason").alias("withheld"))
@@ -202,7 +200,7 @@ fin AS (SELECT *, final_errors = '' AND NOT (judged AND ranswered AND (tconflict
 def judged_claims(spark, sf):
     """Claims of small packs with their answers: (checked, units, documents, answers)."""
     small = F.concat(F.lit("pack"), "c", F.lit("-"), "s", F.lit("-"), F.date_format("published", "yyyy"))
-    docs = session.stage(corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt"), pack=small)))
+    docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt"), pack=small))
     units = session.stage(corpus.filing_units(docs, keep=("pack_id", "sid", "admitted", "title", "published", "age_days", "tier")))
     keyed = session.stage(verdicts.with_key(corpus.claims(docs)))
     high = docs.filter((F.col("status") == "evidence") & (F.col("tier") <= 2))
