@@ -36,7 +36,8 @@ _TAGGED = _FOUND + _FIELD.join(("$1", "$2$5", "$3$4$6$7", "$8", "$9", "$10")) +
 
 def ascii_digits(text):
     """Decimal digits of any script as 0 to 9."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, _DIGITS, _ASCII)).otherwise(text)
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, text).otherwise(F.translate(text, _DIGITS, _ASCII))
 
 
 def dates(text):
