@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("url_filter", "chat_format")
+MODULES = ("url_filter", "chat_format", "warc", "mixing")
 
 _LOADED = [import_module(f"groundwork.llm.{name}") for name in MODULES]
 QUERIES = {name: run for module in _LOADED for name, run in module.QUERIES.items()}
