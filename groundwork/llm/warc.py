@@ -188,7 +188,8 @@ def parse(data, whole):
 def read(files, range_bytes=RANGE_BYTES):
     """One row per record of the archives in `files` (path, bytes)."""
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    ranges = ranges.repartition(max(1, -(-total // range_bytes)), F.col("path"), F.col("start"))  # about a range a task
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string())
     names = [field.split()[0] for field in RECORDS.split(", ")]
 
