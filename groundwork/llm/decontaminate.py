@@ -89,8 +89,8 @@ def may_hold(filter_bits, prints):
 
 
 def candidate_windows(docs, filters):
-    """A row per document: rid, doc_id, n_words, and its windows (start, size, fingerprint, window) that pass the filter of their size."""
-    docs = shared.documents(docs).withColumn("rid", F.monotonically_increasing_id())
+    """A row per document: rid, doc_id, thash (hash of the text), n_words, and its windows (start, size, fingerprint, window) that pass the filter of their size."""
+    docs = shared.documents(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("thash", F.xxhash64("text"))
     filters = docs.sparkSession.sparkContext.broadcast(filters)
     window = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("fingerprint", pa.int64()), ("window", pa.binary())])
 
@@ -110,14 +110,14 @@ def candidate_windows(docs, filters):
                         hits[row].append((at - int(words.first[row]), size, int(prints[at].astype(np.int64)), _digest(words, at, size)))
                 counts += np.diff(words.first).tolist()
                 found += [[dict(zip(("start", "size", "fingerprint", "window"), h)) for h in row] for row in hits]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(window))],
-                                             ["rid", "doc_id", "n_words", "windows"])
-    return docs.select("rid", "doc_id", "text").mapInArrow(
-        candidates_of, "rid long, doc_id long, n_words long, windows array<struct<start: int, size: int, fingerprint: long, window: binary>>")
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("thash"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(window))],
+                                             ["rid", "doc_id", "thash", "n_words", "windows"])
+    return docs.mapInArrow(
+        candidates_of, "rid long, doc_id long, thash long, n_words long, windows array<struct<start: int, size: int, fingerprint: long, window: binary>>")
 
 
 def hits(docs, items):
-    """A row per document: rid, doc_id, n_words, n_hit, items (sorted ids of items with occurring windows), spans (start, size)."""
+    """A row per document: rid, doc_id, thash, n_words, n_hit, items (sorted ids of items with occurring windows), spans (start, size)."""
     windows = shared.stage(item_windows(items).distinct())
     sizes = windows.groupBy("size").agg(F.countDistinct("fingerprint").alias("n")).collect()  # WINDOW rows at most
     filters = {row["size"]: bloom(windows.filter(F.col("size") == row["size"]).select("fingerprint").distinct(), row["n"]) for row in sizes}
@@ -134,7 +134,14 @@ def hits(docs, items):
     found = found.withColumn("n_hit", F.aggregate("spans", nothing, covered, lambda acc: acc.n))
     none = F.array().cast("array<string>")
     return rows.drop("windows").join(found, "rid", "left").select(
-        "rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans")
+        "rid", "doc_id", "thash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans")
+
+
+def clean(docs, items):
+    """The documents, all columns as they are, without a hit. Only the hits' keys (id and hash of the text) are joined."""
+    text = F.xxhash64(F.col("text").cast("string"))
+    found = hits(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("thash").alias("__thash")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__thash")), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -183,6 +183,14 @@ def judge(docs, rules):
     return shared.with_columns(rows, count | {"base_failed": failed, "rule": verdict(rules).cast("int"), "kept": ~failed & (verdict(rules) == 0)}).drop("__counts")
 
 
+def kept(docs, rules):
+    """The documents, all columns as they are, that neither the base rules nor a learned rule reject."""
+    rows = counted(docs)
+    words, repeats = F.col("__counts.n_words"), F.col("__counts.n_repeat_words")
+    stays = (words >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * words) & (verdict(rules) == 0)
+    return rows.filter(stays).drop("__counts")
+
+
 def op1_quality_rules(spark, sf_dir):
     docs = shared.documents(shared.table(spark, sf_dir, "documents"))
     rules = learn(*training_rows(docs, shared.table(spark, sf_dir, "labels")))
