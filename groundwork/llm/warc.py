@@ -157,12 +157,28 @@ def _member(window, at):
                     return None
                 checked = len(begun) == 7
     except zlib.error:
-        return (b"".join(parts), at + len(MAGIC), False) if checked else None
+        data = _salvaged(window, at)
+        return (data, at + len(MAGIC), False) if data.startswith(b"WARC/1.") else None
     if not checked:
         return None
     return b"".join(parts), pos - len(unpack.unused_data), unpack.eof
 
 
+def _salvaged(window, at):
+    """What a damaged member gives before the damage, in small steps, since a step that fails gives nothing."""
+    unpack, parts, pos, tail = zlib.decompressobj(31), [], at, b""
+    try:
+        while not unpack.eof and (tail or pos < window.size):
+            if not tail:
+                tail = window.get(pos, PIECE)
+                pos += len(tail)
+            parts.append(unpack.decompress(tail, 64))
+            tail = unpack.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
 def parse(data, whole):
     """Fields of a record in the order of RECORDS, from record_type on."""
     head, gap, block = data.partition(b"\r\n\r\n")
