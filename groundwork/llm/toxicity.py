@@ -27,9 +27,9 @@ STEP = 20
 HIDDEN = 8
 EMBED = 8
 BUCKETS = 1 << 15
-MAX_TOXIC = 1_500
-MAX_CLEAN = 4_000
-MAX_TRAIN_BYTES = 1 << 15
+MAX_TOXIC = 1_200
+MAX_CLEAN = 3_000
+MAX_TRAIN_BYTES = 1 << 13
 EPOCHS = 6
 BATCH = 128
 RATE = 0.01
@@ -60,6 +60,24 @@ class Vocabulary:
         self.gram = ((code * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int64)
 
 
+class Joined:
+    """Words of many texts, taken slice by slice so that only a slice's bytes are blown up at a time."""
+
+    def __init__(self, texts):
+        offsets = np.cumsum([0, *map(len, texts)])
+        parts, begun, seen = [], 0, 0
+        for a, b in slices(offsets):
+            words = Words(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a:b + 1] - offsets[a])
+            parts.append((words.low, words.start + begun, words.end + begun, words.first[:-1] + seen, words.hashes()))
+            begun, seen = begun + len(words.low), seen + len(words.start)
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in (np.uint8, np.int64, np.int64, np.int64, np.uint64)]
+        self.low, self.start, self.end, self.first, self._hashes = columns
+        self.first = np.append(self.first, seen)
+
+    def hashes(self):
+        return self._hashes
+
+
 def windows(words):
     """(places, row): word numbers of each window (-1: none), and the row it is of; every word is in a window."""
     counts = np.diff(words.first)
@@ -90,6 +108,12 @@ def inputs_of(model, vocabulary):
     return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)]), grams
 
 
+def all_inputs(model, vocabulary, block=1 << 15):
+    """The same without the 4-grams' vectors, in blocks of words."""
+    rows = [inputs_of(model, _Part(vocabulary, np.arange(k, min(k + block, len(vocabulary.word)))))[0][:-1] for k in range(0, len(vocabulary.word), block)]
+    return np.concatenate([*rows, np.zeros((1, 2 * EMBED), np.float32)])
+
+
 def _run(projected, u, ids, mask, keep):
     """States of one direction, steps x windows x HIDDEN; with `keep` what the way back needs."""
     n, h = ids.shape[0], HIDDEN
@@ -155,13 +179,18 @@ def gradients(model, vocabulary, x, grams, ids, mask, target):
     return grad, dx[:-1, :EMBED], d_gram
 
 
-def _log_odds(buckets, docs, toxic):
-    """Log odds of a toxic text by hashed feature, and which features occur in texts enough; features given with the text they are in."""
-    pairs = np.unique(buckets * np.int64(len(toxic)) + docs)
-    bucket, doc = pairs // len(toxic), pairs % len(toxic)
-    yes, no = (np.bincount(bucket[toxic[doc] == v], minlength=BUCKETS) for v in (1, 0))
-    odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((1 - toxic).sum() + 1))
-    return odds.astype(np.float32) / 4, yes + no >= MIN_DOCS
+def _log_odds(vocabulary, first, toxic):
+    """For words and 4-grams by bucket: log odds of a toxic text (a quarter), and whether enough texts have it."""
+    counts = {name: np.zeros((2, BUCKETS)) for name in ("word", "gram")}
+    for kind, a, b in zip(toxic, first[:-1], first[1:]):
+        part = _Part(vocabulary, np.unique(vocabulary.of[a:b]))
+        counts["word"][kind][np.unique(part.word)] += 1
+        counts["gram"][kind][np.unique(part.gram)] += 1
+    out = {}
+    for name, (no, yes) in counts.items():
+        odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((1 - toxic).sum() + 1))
+        out[name] = (odds / 4).astype(np.float32), yes + no >= MIN_DOCS
+    return out
 
 
 class _Part:
@@ -181,34 +210,26 @@ def train(texts, toxic):
     rng = np.random.default_rng(SEED)
     model = new_model(rng)
     model["empty"][0] = toxic.mean()
-    words = Words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    words = Joined(texts)
     if not len(words.start):
         return model
     vocabulary = Vocabulary(words)
-    doc_of = words.row_of()
-    size = np.diff(np.append(vocabulary.starts, len(vocabulary.gram)))
-    odds, known = {}, {}
-    odds["word"], known["word"] = _log_odds(vocabulary.word[vocabulary.of], doc_of, toxic)
-    pairs = np.unique(np.stack([vocabulary.of, doc_of]), axis=1)
-    gram_docs = np.repeat(pairs[1], size[pairs[0]])
-    starts = np.cumsum(size[pairs[0]]) - size[pairs[0]]
-    grams_of = vocabulary.gram[np.repeat(vocabulary.starts[pairs[0]] - starts, size[pairs[0]]) + np.arange(len(gram_docs))]
-    odds["gram"], known["gram"] = _log_odds(grams_of, gram_docs, toxic)
-    for name in odds:
-        model[name][:, 0] = odds[name]
-        model[name][~known[name]] = 0
+    known = {}
+    for name, (odds, often) in _log_odds(vocabulary, words.first, toxic).items():
+        model[name][:, 0], known[name] = odds, often
+        model[name][~often] = 0
 
     places, row = windows(words)
     mask = places >= 0
     ids = np.where(mask, vocabulary.of[places], len(vocabulary.word)).astype(np.int32)
-    x, _ = inputs_of(model, vocabulary)
+    x = all_inputs(model, vocabulary)
     logit = (x[:, 0] + x[:, EMBED])[ids].max(axis=1)  # the first choice of windows
     second = {k: np.zeros_like(v) for k, v in model.items()}
     first = {k: np.zeros_like(v) for k, v in model.items()}
     step = 0
     for epoch in range(EPOCHS):
         if epoch:
-            logit = logits(model, inputs_of(model, vocabulary)[0], ids, mask)
+            logit = logits(model, all_inputs(model, vocabulary), ids, mask)
         best = _highest(logit, row)
         extra = rng.choice(np.flatnonzero(toxic[row] == 0), size=min(len(best), 2 * len(texts)))  # any window of a clean text is clean
         chosen = rng.permutation(np.concatenate([best, extra]))
@@ -233,7 +254,7 @@ def train(texts, toxic):
                 second[name][used] += total[used] ** 2
                 model[name][used] -= 0.02 * total[used] / (np.sqrt(second[name][used]) + 1e-5)
     # The cut that parts the training texts best becomes logit 0; in its gap it lies nearer to the toxic texts.
-    logit = logits(model, inputs_of(model, vocabulary)[0], ids, mask)
+    logit = logits(model, all_inputs(model, vocabulary), ids, mask)
     best = _highest(logit, row)
     value, label = logit[best], toxic[row[best]]
     order = np.argsort(value)
@@ -291,7 +312,7 @@ def scores(model, data, offsets):
         places, row = windows(words)
         mask = places >= 0
         ids = np.where(mask, vocabulary.of[places], len(vocabulary.word))
-        logit = logits(model, inputs_of(model, vocabulary)[0], ids, mask)
+        logit = logits(model, all_inputs(model, vocabulary), ids, mask)
         begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         out[row[begin]] = sigmoid(np.maximum.reduceat(logit, begin).astype(np.float64))
     return out
