@@ -23,9 +23,12 @@ def hard_identifiers(documents, targets):
 
 
 def document_answers(verdicts):
-    """Answers about documents, one row each: (pack_id, sid, promotional, ai_directed, raw_ai_directed, same_company)."""
+    """Answers about documents, one row each: (pack_id, sid, promotional, ai_directed, raw_ai_directed, same_company).
+
+    A question asked more than once keeps its first answer (least ``asked_no``).
+    """
     def answer(question, form, column):
-        return F.max(F.when((F.col("question") == question) & (F.col("form") == form), F.col(column)))
+        return F.min(F.when((F.col("question") == question) & (F.col("form") == form), F.struct("asked_no", column)))[column]
     return verdicts.groupBy("pack_id", "sid").agg(
         answer("promotional_stock_tip", "clean", "noul").alias("promotional"),
         answer("addresses_ai_tools", "clean", "noul").alias("ai_directed"),

@@ -6,7 +6,7 @@ from groundwork import fixed, session
 from groundwork.functions.text import host
 from groundwork.operators import grounding, routing, segment, verdicts
 from groundwork.plans import corpus
-from groundwork.plans.corpus import base_sql, claim_sql
+from groundwork.plans.corpus import CLAIM_SQL, base_sql, claim_sql
 from groundwork.plans.registry import joined, registry
 from groundwork.sources.tables import read
 
@@ -43,15 +43,17 @@ def targets(docs):
 
 
 def screen_answers(docs):
-    def answer(question, form, noul, score):
+    def answer(question, form, noul, score, asked_no=1):
         return F.struct(F.lit(question).alias("question"), F.lit(form).alias("form"), noul.cast("double").alias("noul"),
-                        score.cast("double").alias("score"))
+                        score.cast("double").alias("score"), F.lit(asked_no).alias("asked_no"))
     none = F.lit(None)
     rows = docs.filter(F.col("pct") != 13).select("pack_id", "sid", F.explode(F.array(
         answer("promotional_stock_tip", "clean", F.col("pct") / 100, none),
         answer("addresses_ai_tools", "clean", F.col("debt") % 100 / 100, none),
         answer("addresses_ai_tools", "raw", F.col("cents") % 100 / 100, none),
-        answer("same_company", "clean", none, F.col("cents") % 201 / 100))).alias("_a"))
+        answer("same_company", "clean", none, F.col("cents") % 201 / 100),
+        # Later answers, higher and lower, that must not count.
+        answer("promotional_stock_tip", "clean", F.lit(1.0), none, 2), answer("same_company", "clean", none, F.lit(2.0), 2))).alias("_a"))
     return routing.document_answers(rows.select("pack_id", "sid", "_a.*"))
 
 
@@ -128,16 +130,19 @@ SELECT event_id, CASE WHEN p1 >= 80 THEN c1 WHEN retried AND c2 = c1 AND p2 >= 8
   CAST(CASE WHEN p1 >= 80 THEN p1 WHEN retried AND c2 = c1 AND p2 >= 80 THEN p2 END AS BIGINT) AS percent,
   p1 < 80 AS rechecked, p1 < 80 AND NOT retried AS unanswered FROM b""")
 def verdict_gate(spark, sf):
-    """Confidence gate with one reversed re-check."""
+    """Confidence gate with one reversed re-check; questions are asked twice, and the first asking counts."""
     e = events(spark, sf)
     c1 = (F.when(F.col("event_type").isin("click", "view"), "supports").when(F.col("event_type") == "error", "contradicts")
           .otherwise("says_nothing"))
     question = F.when(F.col("user_id") % 2 == 0, "kind").otherwise("relation")
-    first = F.struct(F.lit(1).alias("attempt"), c1.alias("choice"), (F.col("v") % 101 / 100).alias("confidence"))
-    again = F.struct(F.lit(2).alias("attempt"), F.when(F.col("k") % 2 == 0, c1).otherwise("supports").alias("choice"),
-                     (F.col("k") / 100).alias("confidence"))
+    def answer(asked_no, attempt, choice, confidence):
+        return F.struct(F.lit(asked_no).alias("asked_no"), F.lit(attempt).alias("attempt"), choice.alias("choice"), confidence.cast("double").alias("confidence"))
+    first = answer(1, 1, c1, F.col("v") % 101 / 100)
+    again = answer(1, 2, F.when(F.col("k") % 2 == 0, c1).otherwise("supports"), F.col("k") / 100)
+    # The same question asked once more, with another answer that is surer: it must not count.
+    later = [answer(2, 1, F.lit("undermines"), F.lit(0.99)), answer(2, 2, c1, F.lit(0.98))]
     rows = e.select("event_id", question.alias("question"), F.explode(F.array_compact(
-        F.array(first, F.when(F.col("k") < 90, again)))).alias("_a")).select("event_id", "question", "_a.*")
+        F.array(first, F.when(F.col("k") < 90, again), *later))).alias("_a")).select("event_id", "question", "_a.*")
     return verdicts.gated(rows, ["event_id"]).select(
         "event_id", "accepted", F.round(F.col("confidence") * 100).cast("bigint").alias("percent"), "rechecked", "unanswered")
 
@@ -209,9 +214,9 @@ def judged_claims(spark, sf):
     c1 = (F.when(F.col("debt") % 4 < 2, "supports").when(F.col("debt") % 4 == 2, "contradicts").otherwise("says_nothing"))
     p1 = F.col("debt") % 50 + 50
 
-    def answer(stage, question, attempt, choice, percent, only=None):
+    def answer(stage, question, attempt, choice, percent, only=None, asked_no=1):
         entry = F.struct(stage.alias("stage"), F.lit(question).alias("question"), F.lit(attempt).alias("attempt"),
-                         choice.alias("choice"), (percent / 100).alias("confidence"))
+                         choice.alias("choice"), (percent / 100).cast("double").alias("confidence"), F.lit(asked_no).alias("asked_no"))
         return entry if only is None else F.when(only, entry)
 
     own, higher = F.lit("cited_evidence"), F.concat(F.lit("higher_tier:"), "pick")
@@ -226,7 +231,10 @@ def judged_claims(spark, sf):
                (p1 < 80) & (F.col("debt") % 11 != 0)),
         answer(own, "kind", 1, kind, sure), answer(own, "kind", 2, kind, F.lit(50), sure < 80),
         answer(higher, "relation", 1, against, strong, F.col("pick").isNotNull()),
-        answer(higher, "relation", 2, against, F.lit(70), F.col("pick").isNotNull() & (strong < 80))))
+        answer(higher, "relation", 2, against, F.lit(70), F.col("pick").isNotNull() & (strong < 80)),
+        # A repair asks for the same claims again and gets other, surer answers.
+        answer(own, "relation", 1, F.lit("supports"), F.lit(99), asked_no=2), answer(own, "kind", 1, F.lit("reported_fact"), F.lit(99), asked_no=2),
+        answer(higher, "relation", 1, F.lit("contradicts"), F.lit(99), F.col("pick").isNotNull(), asked_no=2)))
     answers = rows.select("pack_id", "claim_key", F.explode(entries).alias("_a")).select("pack_id", "claim_key", "_a.*")
     return keyed, units, docs, answers
 
@@ -304,3 +312,13 @@ def verdict_reuse(spark, sf):
         F.lit("relation").alias("question"), F.lit(1).alias("attempt"), F.when(F.col("k") % 2 == 0, "supports").otherwise("contradicts").alias("choice"),
         (F.col("k") / 100).alias("confidence"), F.col("event_id").alias("asked_no"))
     return verdicts.first_answers(rows).select("claim_key", "choice", F.round(F.col("confidence") * 100).cast("bigint").alias("percent"))
+
+
+@query("unjudged_claims", "WITH " + CLAIM_SQL + """
+SELECT k AS claim_id, section, kind, errors, errors = '' AS accepted FROM er""")
+def unjudged_claims(spark, sf):
+    """Final state of every claim in a design without a judge."""
+    docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct")))
+    units = corpus.filing_units(docs, keep=("pack_id", "sid", "admitted", "title", "published", "age_days", "tier"))
+    rows = verdicts.unjudged(grounding.check_claims(verdicts.with_key(corpus.claims(docs)), units))
+    return rows.select("claim_id", "section", "kind", joined("errors").alias("errors"), "accepted")
