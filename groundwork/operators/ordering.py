@@ -21,8 +21,9 @@ def number_rows(rows, keys, order, name, partitions=None):
     sorted key columns are written out, because range bounds are drawn from a
     sample and must not be drawn again between the two reads.
 
-    ``order`` should be total within a key; it doubles as the row's identity when
-    the numbers are joined back. Equal rows get numbers in arbitrary order.
+    The numbers are joined back on keys and order. Rows equal in both share a stretch
+    of numbers and are told apart in the join's own partitions, so none is multiplied
+    and only key columns are moved for the numbering.
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -37,9 +38,11 @@ def number_rows(rows, keys, order, name, partitions=None):
     offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_stretch").alias("_o_stretch"), "_base")
     match = _all([F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_stretch") == F.col("_o_stretch")])
     numbers = ranged.join(offsets, match).select(
-        *[F.col(c).alias(f"_n_{c}") for c in columns], (F.col("_rid") + F.col("_base") + 1).cast("bigint").alias(name))
+        *[F.col(c).alias(f"_n_{c}") for c in columns], (F.col("_rid") + F.col("_base") + 1).cast("bigint").alias("_number"))
+    numbers = numbers.groupBy(*[f"_n_{c}" for c in columns]).agg(F.min("_number").alias("_number"))
     same = _all([F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in columns])
-    return rows.join(numbers, same).select(*rows.columns, name)
+    alike = F.row_number().over(Window.partitionBy(*[f"_n_{c}" for c in columns]).orderBy(F.lit(0)))
+    return rows.join(numbers, same).withColumn(name, F.col("_number") + alike - 1).select(*rows.columns, name)
 
 
 def latest(rows, keys, order):
@@ -58,9 +61,3 @@ def last_by(rows, keys, order):
     rest = [c for c in rows.columns if c not in keys]
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-
-
-def top_n(rows, keys, order, n):
-    """First ``n`` rows of each key. Spark cuts each task's share to ``n`` before it shuffles."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from groundwork import fixed
 from groundwork.functions.stats import count_or_null, interval_text
-from groundwork.functions.text import safe_code
+from groundwork.functions.text import safe_code, strip
+from groundwork.operators import ordering
 
 
 def run_artifacts(runs, config, checks, timings, labels):
@@ -79,7 +80,7 @@ def human_review(labels):
     ids = F.transform(sample, lambda i: i["id"])
     clean = (F.size(F.filter(ids, lambda i: i.isNotNull() & (i != ""))) == F.size(sample)) & (
         F.size(F.array_distinct(ids)) == F.size(sample))
-    judged = F.filter(sample, lambda i: i["pass"].isNotNull() & (F.trim(F.coalesce(i["text"], F.lit(""))) != ""))
+    judged = F.filter(sample, lambda i: i["pass"].isNotNull() & (strip(F.coalesce(i["text"], F.lit(""))) != ""))
     n, k = F.size(judged).cast("bigint"), F.size(F.filter(judged, lambda i: i["pass"])).cast("bigint")
     open_n = F.size(sample) - n
     support = F.concat(F.when(n > 0, interval_text(k, n)).otherwise("pending"),
@@ -90,11 +91,12 @@ def human_review(labels):
         "%d/%d reviewed; %d pending", F.size(F.filter(passes, lambda p: p)), reviewed,
         F.lit(len(fixed.TRAPS)) - reviewed)).otherwise("pending")
     rounding = F.coalesce(count_or_null(F.col("rounding_false_alarms.count")).cast("string"), F.lit("pending"))
-    named = F.trim(F.coalesce("reviewer", F.lit(""))) != ""
+    named = strip(F.coalesce("reviewer", F.lit(""))) != ""
+    stored = F.coalesce("reviewer", "reviewer_type").isNotNull() | F.col("supported_sample").isNotNull() | F.col("traps").isNotNull()
     human = F.coalesce(F.col("reviewer_type") == "human", F.lit(False))
     usable = named & human & clean
     return labels.select(
-        "run_id", F.when(~named, "pending (reviewer missing)").when(~human, "pending (human review required)")
+        "run_id", F.when(~stored, "pending").when(~named, "pending (reviewer missing)").when(~human, "pending (human review required)")
         .when(~clean, "invalid duplicate/missing sample IDs").otherwise(support).alias("support"),
         F.when(usable, traps).otherwise("pending").alias("traps"),
         F.when(usable, rounding).otherwise("pending").alias("rounding"))
@@ -203,7 +205,12 @@ def run_summary(artifacts):
 
 
 def newest_first(runs):
-    return runs.orderBy(F.desc("created_at"), F.desc("id"))
+    """All runs with their ``place``, newest first; equal times go by id, highest first.
+
+    Places come from range partitions and their sizes, so no task sorts all runs.
+    """
+    keyed = runs.withColumns({"_all": F.lit(0), "_t": -F.unix_micros(F.col("created_at").cast("timestamp")), "_i": -F.col("id")})
+    return ordering.number_rows(keyed, ["_all"], ["_t", "_i"], "place").drop("_all", "_t", "_i")
 
 
 def search(runs, text):
@@ -214,14 +221,15 @@ def search(runs, text):
 
 
 def shortlist(runs, n, keys=()):
-    """Pinned and completed runs, pinned first, newest first; the first ``n`` overall or per key.
+    """Pinned runs, then completed ones, then the others, each newest first; the first ``n`` overall or per key.
 
-    ``runs`` needs pinned and created_at. Spark keeps only ``n`` rows per task before
-    anything is moved.
+    ``runs`` needs pinned and created_at. With a limit Spark keeps only ``n`` rows per
+    task before anything is moved; a search shows all its matches (``n`` is None).
     """
-    rows = runs.filter(F.col("pinned") | F.col("status").isin("completed", "completed_with_drops"))
-    order = [F.desc("pinned"), F.desc("created_at"), F.desc("id")]
+    done = F.col("status").isin("completed", "completed_with_drops")
+    order = [F.desc("pinned"), F.desc(F.col("pinned") | done), F.desc("created_at"), F.desc("id")]
     if not keys:
-        return rows.orderBy(*order).limit(n)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+        rows = runs.orderBy(*order)
+        return rows if n is None else rows.limit(n)
+    ranked = runs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)

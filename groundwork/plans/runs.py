@@ -16,8 +16,10 @@ QUERIES, ORACLES, query = registry()
 RESULT_SQL = """
 r AS (SELECT o_orderkey AS k, o_custkey AS run_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS s, o_orderpriority AS p,
   CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'snapshot' WHEN o_orderpriority = '2-HIGH' THEN 'bull' WHEN o_orderpriority = '3-MEDIUM' THEN 'bear' ELSE 'open_questions' END AS section,
-  CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS stage_no FROM orders),
-st AS (SELECT DISTINCT run_id, stage_no, stage_no = 1 OR run_id % 3 <> 0 AS succeeded FROM r),
+  CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS stage_no FROM orders WHERE o_custkey % 10 <> 0),
+runs AS (SELECT DISTINCT o_custkey AS run_id FROM orders),
+st AS (SELECT DISTINCT run_id, CASE stage_no WHEN 1 THEN 'draft' ELSE 'repair' END AS stage, stage_no, stage_no = 1 OR run_id % 3 <> 0 AS succeeded, false AS shape FROM r
+  UNION ALL SELECT run_id, CASE WHEN run_id % 20 = 0 THEN 'format_repair' ELSE 'draft' END, 1, run_id % 40 <> 10, run_id % 20 <> 0 FROM runs WHERE run_id % 10 = 0),
 q AS (SELECT *, cents % 5 = 0 AS bad_cite, cents % 7 = 0 AS bad_number, cents % 11 = 0 AS bad_kind FROM r),
 w AS (SELECT *, NOT bad_cite AND NOT bad_number AND NOT bad_kind AS accepted FROM q),
 last AS (SELECT run_id, max(stage_no) AS stage_no FROM st WHERE succeeded GROUP BY run_id),
@@ -25,9 +27,14 @@ fr AS (SELECT w.* FROM w JOIN last USING (run_id, stage_no))
 """
 
 
+def all_runs(spark, sf):
+    """Every run; one in ten has no claim."""
+    return read(spark, sf, "orders").select(F.col("o_custkey").alias("run_id")).distinct()
+
+
 def results(spark, sf):
     """Checked claims: partly shipped orders are a repair, the others the draft."""
-    o = read(spark, sf, "orders")
+    o = read(spark, sf, "orders").filter("o_custkey % 10 <> 0")
     p = F.col("o_orderpriority")
     section = (F.when(p.isin("1-URGENT", "5-LOW"), "snapshot").when(p == "2-HIGH", "bull").when(p == "3-MEDIUM", "bear")
                .otherwise("open_questions"))
@@ -49,13 +56,26 @@ def stages(rows):
     return rows.select("run_id", "stage", "stage_no", done.alias("succeeded")).distinct()
 
 
+def all_stages(spark, sf, rows):
+    """Stages of all runs: a run without claims had an empty format repair, or an output of the wrong shape."""
+    run = F.col("run_id")
+    empty = all_runs(spark, sf).filter(run % 10 == 0).select(
+        "run_id", F.when(run % 20 == 0, "format_repair").otherwise("draft").alias("stage"), F.lit(1).alias("stage_no"), (run % 40 != 10).alias("succeeded"))
+    return stages(rows).unionByName(empty)
+
+
+def shape_faults(spark, sf):
+    return all_runs(spark, sf).filter("run_id % 20 = 10").select(
+        "run_id", F.lit("draft").alias("stage"), F.lit(1).alias("stage_no"), F.lit("Output must contain exactly the four section arrays.").alias("error"))
+
+
 def notices(rows):
     """System notices of a run; many repeat."""
     return rows.select("run_id", F.concat(F.lit("Notice about "), "section").alias("notice"), F.col("idx").alias("place"))
 
 
-WILSON_SQL = """round({side}({bound}, ({k}::DOUBLE / {n}::DOUBLE + {z2} / (2 * {n}::DOUBLE)) / (1 + {z2} / {n}::DOUBLE) {sign}
-  1.959963984540054 * sqrt(({k}::DOUBLE / {n}::DOUBLE) * (1 - {k}::DOUBLE / {n}::DOUBLE) / {n}::DOUBLE + {z2} / (4 * {n}::DOUBLE * {n}::DOUBLE)) / (1 + {z2} / {n}::DOUBLE)), 9)"""
+WILSON_SQL = """CASE WHEN {n} > 0 THEN round({side}({bound}, ({k}::DOUBLE / {n}::DOUBLE + {z2} / (2 * {n}::DOUBLE)) / (1 + {z2} / {n}::DOUBLE) {sign}
+  1.959963984540054 * sqrt(({k}::DOUBLE / {n}::DOUBLE) * (1 - {k}::DOUBLE / {n}::DOUBLE) / {n}::DOUBLE + {z2} / (4 * {n}::DOUBLE * {n}::DOUBLE)) / (1 + {z2} / {n}::DOUBLE)), 9) END"""
 
 
 def wilson_sql(k, n, low):
@@ -67,13 +87,13 @@ def wilson_sql(k, n, low):
 m AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE NOT bad_cite) AS c, count(*) FILTER (WHERE NOT bad_number) AS u,
    count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS d FROM fr GROUP BY run_id),
 s AS (SELECT run_id, count(DISTINCT section) AS q FROM r GROUP BY run_id)
-SELECT run_id, CAST(n AS BIGINT) AS n, CAST(c AS BIGINT) AS cited_ok, CAST(u AS BIGINT) AS numbers_ok, CAST(a AS BIGINT) AS accepted_claims, CAST(d AS BIGINT) AS dropped_claims,
-  CAST(q AS BIGINT) AS system_open_questions, """ + wilson_sql("c", "n", True) + " AS cited_low, " + wilson_sql("c", "n", False) + """ AS cited_high,
-  """ + wilson_sql("u", "n", True) + " AS numbers_low, " + wilson_sql("u", "n", False) + """ AS numbers_high FROM m JOIN s USING (run_id)""")
+SELECT run_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(c, 0) AS BIGINT) AS cited_ok, CAST(coalesce(u, 0) AS BIGINT) AS numbers_ok, CAST(coalesce(a, 0) AS BIGINT) AS accepted_claims,
+  CAST(coalesce(d, 0) AS BIGINT) AS dropped_claims, CAST(coalesce(q, 0) AS BIGINT) AS system_open_questions, """ + wilson_sql("c", "n", True) + " AS cited_low, " + wilson_sql("c", "n", False) + """ AS cited_high,
+  """ + wilson_sql("u", "n", True) + " AS numbers_low, " + wilson_sql("u", "n", False) + """ AS numbers_high FROM runs LEFT JOIN m USING (run_id) LEFT JOIN s USING (run_id)""")
 def run_metrics(spark, sf):
     """Counts, both pass ratios and their intervals over each run's final stage."""
     rows = results(spark, sf)
-    out = passes.run_metrics(passes.final_results(rows, stages(rows)), notices(rows))
+    out = passes.run_metrics(all_runs(spark, sf), passes.final_results(rows, stages(rows)), notices(rows))
     return out.withColumns({c: F.round(c, 9) for c in ("cited_low", "cited_high", "numbers_low", "numbers_high")})
 
 
@@ -81,18 +101,21 @@ def run_metrics(spark, sf):
 m AS (SELECT run_id, count(*) FILTER (WHERE section = 'snapshot' AND accepted) AS a, count(*) FILTER (WHERE section = 'bull' AND accepted) AS b,
   count(*) FILTER (WHERE section = 'bear' AND accepted) AS c, count(*) FILTER (WHERE section = 'open_questions' AND accepted) AS d,
   count(*) FILTER (WHERE NOT accepted) AS dropped FROM fr GROUP BY run_id),
-u AS (SELECT run_id, bool_or(cents % 101 = 0) AS lost, sum(cents % 100) AS words FROM r GROUP BY run_id)
+u AS (SELECT run_id, bool_or(cents % 101 = 0) AS lost, sum(cents % 100) AS words FROM r GROUP BY run_id),
+x AS (SELECT run_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(dropped, 0) AS dropped, coalesce(lost, run_id % 30 = 0) AS lost, words
+  FROM runs LEFT JOIN m USING (run_id) LEFT JOIN u USING (run_id))
 SELECT run_id, CASE WHEN lost THEN 'verification_unavailable' WHEN least(a, b, c, d) = 0 OR a NOT IN (3, 4) THEN 'incomplete' WHEN dropped > 0 THEN 'completed_with_drops' ELSE 'completed' END AS status,
   CAST(words AS BIGINT) AS word_count, concat_ws(' | ', CASE WHEN a = 0 THEN 'No accepted claims in required section: snapshot' END, CASE WHEN b = 0 THEN 'No accepted claims in required section: bull' END,
   CASE WHEN c = 0 THEN 'No accepted claims in required section: bear' END, CASE WHEN d = 0 THEN 'No accepted claims in required section: open_questions' END,
   CASE WHEN words > 600 THEN 'Body exceeds 600 words' END, CASE WHEN a NOT IN (3, 4) THEN 'Snapshot does not contain three or four items' END) AS warnings
-FROM m JOIN u USING (run_id)""")
+FROM x""")
 def run_status(spark, sf):
     """Status and warnings of every run."""
     rows = results(spark, sf)
-    lost = rows.select("run_id", (F.col("cents") % 101 == 0).alias("unavailable"))
+    lost = rows.select("run_id", (F.col("cents") % 101 == 0).alias("unavailable")).unionByName(
+        all_runs(spark, sf).filter("run_id % 30 = 0").select("run_id", F.lit(True).alias("unavailable")))  # screening outages
     words = rows.groupBy("run_id").agg(F.sum(F.col("cents") % 100).alias("word_count"))
-    out = passes.run_status(passes.final_results(rows, stages(rows)), lost, words)
+    out = passes.run_status(all_runs(spark, sf), passes.final_results(rows, stages(rows)), lost, words)
     return out.withColumn("warnings", joined("warnings"))
 
 
@@ -118,22 +141,24 @@ def dropped_claims(spark, sf):
 @query("stage_summary", "WITH " + RESULT_SQL + """,
 g AS (SELECT run_id, stage_no, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS f, count(*) FILTER (WHERE accepted AND section = 'snapshot') AS kept,
   count(*) FILTER (WHERE stage_no = 1 AND accepted AND section <> 'snapshot' AND cents % 2 <> 0) AS q FROM w GROUP BY 1, 2)
-SELECT run_id, CASE stage_no WHEN 1 THEN 'draft' ELSE 'repair' END AS stage, CAST(a AS BIGINT) AS accepted,
-  CAST(f + CASE WHEN kept NOT IN (3, 4) AND succeeded THEN 1 ELSE 0 END AS BIGINT) AS failed, CAST(q AS BIGINT) AS repair_requested FROM g JOIN st USING (run_id, stage_no)""")
+SELECT run_id, stage, CAST(coalesce(a, 0) AS BIGINT) AS accepted, CAST(coalesce(f, 0) + CASE WHEN shape OR (coalesce(kept, 0) NOT IN (3, 4) AND succeeded) THEN 1 ELSE 0 END AS BIGINT) AS failed,
+  CAST(coalesce(q, 0) AS BIGINT) AS repair_requested FROM st LEFT JOIN g USING (run_id, stage_no)""")
 def stage_summary(spark, sf):
     """Accepted, failed and repair-requested claims per pass, structure failures included."""
     rows = results(spark, sf)
-    return passes.stage_summary(rows, passes.structure_failures(rows, stages(rows))).select(
+    known = all_stages(spark, sf, rows)
+    return passes.stage_summary(known, rows, passes.structure_failures(rows, known, shape_faults(spark, sf))).select(
         "run_id", "stage", "accepted", F.col("failed").cast("bigint").alias("failed"), "repair_requested")
 
 
 @query("structure_failures", "WITH " + RESULT_SQL + """
-SELECT run_id, CASE stage_no WHEN 1 THEN 'draft' ELSE 'repair' END AS stage, 'Snapshot retained ' || kept || ' supported items; it requires three or four. Return three or four supported reported facts without inventing evidence.' AS error
-FROM (SELECT run_id, stage_no, count(*) FILTER (WHERE accepted AND section = 'snapshot') AS kept FROM w GROUP BY 1, 2) JOIN st USING (run_id, stage_no) WHERE succeeded AND kept NOT IN (3, 4)""")
+SELECT run_id, stage, CASE WHEN shape THEN 'Output must contain exactly the four section arrays.' ELSE
+  'Snapshot retained ' || coalesce(kept, 0) || ' supported items; it requires three or four. Return three or four supported reported facts without inventing evidence.' END AS error
+FROM st LEFT JOIN (SELECT run_id, stage_no, count(*) FILTER (WHERE accepted AND section = 'snapshot') AS kept FROM w GROUP BY 1, 2) USING (run_id, stage_no) WHERE shape OR (succeeded AND coalesce(kept, 0) NOT IN (3, 4))""")
 def structure_failures(spark, sf):
     """Stages whose snapshot has the wrong size; no claim is blamed for it."""
     rows = results(spark, sf)
-    return passes.structure_failures(rows, stages(rows)).select("run_id", "stage", "error")
+    return passes.structure_failures(rows, all_stages(spark, sf, rows), shape_faults(spark, sf)).select("run_id", "stage", "error")
 
 
 @query("stage_latest", """
@@ -205,10 +230,10 @@ def version_counts(spark, sf):
 
 @query("human_review", """
 WITH x AS (SELECT d.doc_id, l.quality, l.toxic, d.lang, (l.quality IS NOT NULL)::INT + 1 AS n, coalesce(l.quality, 0) + 1 AS k FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id AS run_id, CASE WHEN lang = 'fr' THEN 'pending (reviewer missing)' WHEN lang = 'de' THEN 'pending (human review required)' WHEN lang = 'es' THEN 'invalid duplicate/missing sample IDs'
+SELECT doc_id AS run_id, CASE WHEN doc_id % 7 = 0 THEN 'pending' WHEN lang = 'fr' THEN 'pending (reviewer missing)' WHEN lang = 'de' THEN 'pending (human review required)' WHEN lang = 'es' THEN 'invalid duplicate/missing sample IDs'
   WHEN n = 1 THEN '1/1 [20.7%, 100.0%]; 2 pending' WHEN k = 1 THEN '1/2 [9.5%, 90.5%]; 1 pending' ELSE '2/2 [34.2%, 100.0%]; 1 pending' END AS support,
-  CASE WHEN lang <> 'en' OR toxic IS NULL THEN 'pending' ELSE toxic || '/1 reviewed; 6 pending' END AS traps,
-  CASE WHEN lang <> 'en' OR toxic IS NULL THEN 'pending' ELSE CAST(toxic AS VARCHAR) END AS rounding FROM x""")
+  CASE WHEN doc_id % 7 = 0 OR lang <> 'en' OR toxic IS NULL THEN 'pending' ELSE toxic || '/1 reviewed; 6 pending' END AS traps,
+  CASE WHEN doc_id % 7 = 0 OR lang <> 'en' OR toxic IS NULL THEN 'pending' ELSE CAST(toxic AS VARCHAR) END AS rounding FROM x""")
 def human_review(spark, sf):
     """Support, trap and rounding results from label files; only human booleans count."""
     docs, labels = read(spark, sf, "documents").select("doc_id", "lang"), read(spark, sf, "labels")
@@ -218,10 +243,12 @@ def human_review(spark, sf):
     twice = F.when(F.col("lang") == "es", "a").otherwise("b")
     sample = F.array(item(F.lit("a"), F.lit(True)), item(twice, F.col("quality") == 1), item(F.lit("c"), F.lit(None).cast("boolean")))
     traps = F.create_map(F.lit("scope"), F.struct((F.col("toxic") == 1).alias("pass"), F.lit("").alias("note")))
+    stored = F.col("doc_id") % 7 != 0  # the others have no label file
     return runs.human_review(rows.select(
-        F.col("doc_id").alias("run_id"), F.when(F.col("lang") != "fr", "R").alias("reviewer"),
-        F.when(F.col("lang") == "de", "model").otherwise("human").alias("reviewer_type"), sample.alias("supported_sample"),
-        traps.alias("traps"), F.struct(F.coalesce(F.col("toxic").cast("bigint"), F.lit(-1).cast("bigint")).alias("count")).alias("rounding_false_alarms")))
+        F.col("doc_id").alias("run_id"), F.when(stored, F.when(F.col("lang") != "fr", "R").otherwise("\t\n")).alias("reviewer"),
+        F.when(stored, F.when(F.col("lang") == "de", "model").otherwise("human")).alias("reviewer_type"), F.when(stored, sample).alias("supported_sample"),
+        F.when(stored, traps).alias("traps"),
+        F.when(stored, F.struct(F.coalesce(F.col("toxic").cast("bigint"), F.lit(-1).cast("bigint")).alias("count"))).alias("rounding_false_alarms")))
 
 
 @query("wilson_intervals", """
@@ -235,12 +262,13 @@ def wilson_intervals(spark, sf):
 
 
 @query("interval_texts", """
-SELECT CAST(o_custkey AS BIGINT) AS run_id, CASE WHEN count(*) FILTER (WHERE o_orderstatus <> 'P') = 0 THEN 'not measured' ELSE CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS VARCHAR) || '/' || CAST(count(*) FILTER (WHERE o_orderstatus <> 'P') AS VARCHAR) END AS ratio FROM orders GROUP BY 1""")
+WITH g AS (SELECT CAST(o_custkey AS BIGINT) AS run_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS k, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n FROM orders GROUP BY 1)
+SELECT run_id, CASE WHEN n = 0 THEN 'not measured' ELSE k || '/' || n || ' [' || printf('%.1f', 100 * """ + wilson_sql("k", "n", True) + """) || '%, ' || printf('%.1f', 100 * """ + wilson_sql("k", "n", False) + """) || '%]' END AS ratio FROM g""")
 def interval_texts(spark, sf):
-    """Ratio part of the interval text per run."""
+    """Ratio with its interval as text per run."""
     rows = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count_if(F.col("o_orderstatus") != "P").alias("n"))
-    return rows.select("run_id", F.regexp_replace(interval_text(F.col("k"), F.col("n")), r" \[.*", "").alias("ratio"))
+    return rows.select("run_id", interval_text(F.col("k"), F.col("n")).alias("ratio"))
 
 
 ATTEMPT_SQL = EVENT_SQL + """,
@@ -373,24 +401,24 @@ def run_history(spark, sf):
 
 
 @query("history_shortlist", """
-SELECT o_custkey AS c, o_orderkey AS id, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM orders
-  WHERE o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P') WHERE r <= 3""")
+SELECT o_custkey AS c, o_orderkey AS id, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC,
+  o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P' DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3 OR c % 2 = 0""".replace("c % 2", "o_custkey % 2"))
 def history_shortlist(spark, sf):
-    """First three runs of each customer: pinned, then newest completed ones."""
+    """Runs of each customer: pinned, newest completed, then the others; three of them, or all where a search is on."""
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "completed_with_drops").otherwise("failed")
     rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), status.alias("status"),
                                             (F.col("o_orderpriority") == "1-URGENT").alias("pinned"), F.col("o_orderdate").alias("created_at"))
-    return runs.shortlist(rows, 3, keys=("c",)).select("c", "id", F.col("rank").cast("bigint").alias("rank"))
+    plain, searched = rows.filter("c % 2 <> 0"), rows.filter("c % 2 = 0")
+    out = runs.shortlist(plain, 3, keys=("c",)).unionByName(runs.shortlist(searched, None, keys=("c",)))
+    return out.select("c", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("newest_runs", """
-SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS BIGINT) AS place FROM orders QUALIFY place <= 50""")
+SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS BIGINT) AS place FROM orders""")
 def newest_runs(spark, sf):
-    """The fifty newest runs in order."""
+    """All runs with their place, newest first."""
     rows = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    top = runs.newest_first(rows).limit(50)
-    return ordering.number_rows(top.withColumn("_all", F.lit(0)).withColumns({
-        "_d": -F.unix_date(F.col("created_at").cast("date")), "_i": -F.col("id")}), ["_all"], ["_d", "_i"], "place", partitions=1).select("id", "place")
+    return runs.newest_first(rows).select("id", "place")
 
 
 @query("review_templates", "WITH " + RESULT_SQL + """,
