@@ -194,8 +194,8 @@ PERIOD_LABEL = (
     rf"|Q{SPACE}*[1-4]|H{SPACE}*[12]){END}"
 )
 LOOSE_DATE = (
-    rf"(?iu){START}{DIGIT}{{1,2}}{SPACE}+[a-z]+\.?{SPACE}+{DIGIT}{{4}}{END}"
-    rf"|{START}[a-z]+\.?{SPACE}+{DIGIT}{{1,2}},?{SPACE}+{DIGIT}{{4}}{END}|{START}{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}{END}"
+    rf"(?iu){START}{DIGIT}{{1,2}}{SPACE}+[a-z]{{2,}}\.?{SPACE}+{DIGIT}{{4}}{END}"
+    rf"|{START}[a-z]{{2,}}\.?{SPACE}+{DIGIT}{{1,2}},?{SPACE}+{DIGIT}{{4}}{END}|{START}{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}{END}"
 )
 FIGURE_YEAR = r"^(?:19|20)\p{Nd}{2}$"
 

@@ -157,12 +157,40 @@ def _value(q):
         q["exponent"].alias("exponent"), q["prec"].alias("prec"), q["approx"].alias("approx"))
 
 
+def _parts(key):
+    """Sign, digits and power of ten of a canonical key; zero has no digits."""
+    zero = key == "0"
+    return (F.when(key.startswith("-") & ~zero, "-").otherwise(""), F.when(zero, "").otherwise(F.regexp_extract(key, r"^-?(\d*)", 1)),
+            F.when(zero, 0).otherwise(F.regexp_extract(key, r"e(-?\d+)$", 1).cast("int")))
+
+
+def _plus_one(digits):
+    """A whole number as digits, raised by one, at any length."""
+    head = F.rtrim(digits, F.lit("9"))
+    nines = F.repeat(F.lit("0"), F.length(digits) - F.length(head))
+    last = F.coalesce(F.right(head, F.lit(1)).try_cast("int"), F.lit(0)) + 1
+    return F.concat(F.left(head, F.greatest(F.length(head) - 1, F.lit(0))), last.cast("string"), nines)
+
+
 def rounds_to(value, shown, prec, exponent):
-    """Whether ``value`` rounds half up to ``shown``, displayed with ``prec`` decimals
-    of a unit of ten to the ``exponent``."""
-    half = F.concat(F.lit("5e"), (exponent - prec - 1).cast("string")).try_cast("decimal(38,12)")
-    gap = value - shown
-    return F.when(value >= 0, (gap >= -half) & (gap < half)).otherwise((gap > -half) & (gap <= half))
+    """Whether a value rounds half up (away from zero) to ``shown``, displayed with
+    ``prec`` decimals of a unit of ten to the ``exponent``.
+
+    Both are canonical keys. The value is cut at the last displayed place, digit by
+    digit, so any number of digits is exact.
+    """
+    sign, digits, power = _parts(value)
+    shown_sign, shown_digits, shown_power = _parts(shown)
+    place = exponent - prec
+    moved = power - place
+    cut = F.greatest(F.length(digits) + moved, F.lit(0))
+    whole = F.when(moved >= 0, F.concat(digits, F.repeat(F.lit("0"), moved))).otherwise(F.left(digits, cut))
+    # The first digit cut off; where the value is smaller than that place it is 0.
+    first = F.when((moved >= 0) | (F.length(digits) + moved < 0), "0").otherwise(F.substring(digits, cut + 1, F.lit(1)))
+    rounded = F.when(first >= "5", _plus_one(whole)).otherwise(whole)
+    wanted = F.concat(shown_digits, F.repeat(F.lit("0"), F.greatest(shown_power - place, F.lit(0))))
+    rounded, wanted = F.ltrim(rounded, F.lit("0")), F.ltrim(wanted, F.lit("0"))
+    return (rounded == wanted) & ((sign == shown_sign) | (wanted == ""))
 
 
 def unsupported(claimed, evidence):
@@ -174,7 +202,7 @@ def unsupported(claimed, evidence):
     def supported(c):
         return F.exists(evidence, lambda e: (e["dimension"] == c["dimension"]) & (
             (e["key"] == c["key"])
-            | (c["approx"] & F.coalesce(rounds_to(e["value"], c["value"], c["prec"], c["exponent"]), F.lit(False)))))
+            | (c["approx"] & F.coalesce(rounds_to(e["key"], c["key"], c["prec"], c["exponent"]), F.lit(False)))))
     return F.filter(claimed, lambda c: ~supported(c))
 
 

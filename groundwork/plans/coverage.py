@@ -40,7 +40,7 @@ def topic_cues(spark, sf):
 @query("document_figures", r"""
 WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\*\*|`', '', 'g'),
     '\b(?:(?:(?:[Qq]\s*[1-4]|[Hh]\s*[12])\s*)?[Ff][Yy]\s*\d{2,4}(?:\s*[-–]\s*\d{2,4})?|[Qq]\s*[1-4]|[Hh]\s*[12])\b', ' ', 'g'),
-    '\b\d{1,2}\s+[A-Za-z]+\.?\s+\d{4}\b|\b[A-Za-z]+\.?\s+\d{1,2},?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b', ' ', 'g') AS t FROM documents),
+    '\b\d{1,2}\s+[A-Za-z]{2,}\.?\s+\d{4}\b|\b[A-Za-z]{2,}\.?\s+\d{1,2},?\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}\b', ' ', 'g') AS t FROM documents),
 f AS (SELECT doc_id, ltrim(replace(unnest(regexp_extract_all(t, '[-+−]?\d[\d,]*(?:\.\d+)?')), ',', ''), '+-−') AS v FROM c),
 g AS (SELECT DISTINCT doc_id, CASE WHEN contains(v, '.') THEN rtrim(rtrim(v, '0'), '.') ELSE v END AS figure FROM f WHERE NOT regexp_full_match(v, '(?:19|20)\d{2}'))
 SELECT doc_id, figure FROM g""")

@@ -25,7 +25,8 @@ def fingerprint(content):
 
 
 def decoded(content):
-    text = F.decode(content, "UTF-8")
+    """Text of a file with plain line ends; NULL where its bytes are not UTF-8."""
+    text = F.try_validate_utf8(content.cast("string"))
     return F.replace(F.regexp_replace(text, r"\A\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
 
 
@@ -83,12 +84,14 @@ def cleaned(files):
     return rows.select(
         "pack_id", "filename", fingerprint(F.col("content")).alias("sha256"),
         strip(F.regexp_replace("_raw", fixed.FRONT_MATTER, "")).alias("raw_body"),
-        hidden_counts(F.col("_raw")).alias("removals"), nfkc(without_hidden(F.col("_raw"))).alias("text"))
+        hidden_counts(F.col("_raw")).alias("removals"), nfkc(without_hidden(F.col("_raw"))).alias("text"),
+        F.col("_raw").isNull().alias("_no_text"))
 
 
 def parsed(files):
     """Cleaned files with fields and fault; no numbering yet, so nothing is shuffled."""
-    return with_front_matter(cleaned(files))
+    rows = with_front_matter(cleaned(files))
+    return rows.withColumn("fault", F.when(F.col("_no_text"), "not UTF-8").otherwise(F.col("fault"))).drop("_no_text")
 
 
 def rejects(parsed_files):
