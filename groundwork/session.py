@@ -24,22 +24,14 @@ def build(app="groundwork", cores=None, **conf):
     if cores:
         builder = builder.master(f"local[{cores}]")
         settings.setdefault("spark.sql.shuffle.partitions", str(cores))
+        # Rows are cheap to move and costly to read: on one machine small shuffles are split among all cores.
+        settings.setdefault("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         settings.setdefault("spark.driver.memory", os.environ.get("GROUNDWORK_DRIVER_MEMORY", "8g"))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def prepare(spark):
-    """Runtime settings for text work after a shuffle.
-
-    Rows are cheap to move and costly to read, so small shuffles are split among all
-    cores instead of being merged into one task. Large shuffles exceed the minimum
-    anyway and keep the sizes adaptive execution gives them.
-    """
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-
-
 def ensure_checkpoint_dir(spark):
     """Use the shared folder the cluster names; only a local session gets its own."""
     context = spark.sparkContext
