@@ -16,11 +16,15 @@ def sql():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_agrees_with_sql(spark, sql, name):
-    assert name in entry.oracle_sql()
     assert differences(spark, sql, SF, entry.queries()[name], entry.oracle_sql()[name]) == []
 
 
+def test_only_training_data_queries_may_lack_sql():
+    lacking = set(entry.queries()) - set(entry.oracle_sql())
+    assert all(name == "pipeline" or name.startswith("op") for name in lacking)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1

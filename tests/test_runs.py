@@ -14,38 +14,36 @@ from groundwork.operators import coverage, passes, report, runs
 from groundwork.sources import artifacts
 from groundwork.streaming import drop_folder
 
-TABLE = "**Amounts in crore**\n| Metric | Current | Prior | YoY |\n|---|---|---|---|\n| Net profit | 45 | 40 | +12.5% |"
+SHEET = "**Sums in lakh**\n| Item | This year | Last year | YoY |\n|---|---|---|---|\n| EBIT | 72 | 60 | +20% |"
+# One sentence or more for each topic rule: a level states a sum, growth states a change, outlook speaks of what is to come.
 TOPIC_CASES = {
-    "| Net profit | 45 | 40 | +12.5% |": ["profit_level", "profit_growth"],
-    TABLE: ["profit_level", "profit_growth"],
-    "Net profit was Rs 45 crore.": ["profit_level"],
-    "Revenue was Rs 500 crore, up 25%.": ["revenue_level", "revenue_growth"],
-    "Revenue grew 25%.": ["revenue_growth"],
-    "Revenue growth of Rs 100 crore was reported.": ["revenue_growth"],
-    "Profit rose 12.5% to Rs 45 crore.": ["profit_level", "profit_growth"],
-    "Profit was Rs 45 crore, while revenue grew 25%.": ["revenue_growth", "profit_level"],
-    "Revenue was Rs 500 crore and profit rose 12.5%.": ["revenue_level", "profit_growth"],
-    "Management expects revenue growth of 15% next year.": ["guidance_outlook"],
-    "| EBITDA margin | 14% | 12% | +200 bps |": ["margins"],
-    "EBITDA margin rose to 14%.": ["margins"],
-    "Exports contributed 30% of revenue, up from 20%.": [],
-    "Sales volume increased 20% to 500 units.": [],
-    "| Sales volume | 500 | 400 | +25% |": [],
-    "Profit would rise 20% if the expansion succeeds.": ["guidance_outlook"],
-    "Revenue was 500.": ["revenue_level"],
-    "Revenue in 2026.": [],
-    "Revenue was 12 days late.": [],
-    "**Revenue** grew `25%` and management expects further expansion.": ["revenue_growth", "guidance_outlook"],
-    "The business makes equipment.": [],
-    "Receivable days increased. Debt funds capital expenditure. Promoters pledged shares. Management plans expansion. "
-    "A tax demand is under legal review.": ["cash_collection", "debt_funding", "ownership_pledges", "guidance_outlook", "material_legal_risk"],
-    "The company says the new plant is on track to begin production.": ["guidance_outlook"],
-    "| Metric | Growth |\n| Revenue | 5 |": ["revenue_level", "revenue_growth"],
+    "| EBIT | 72 | 60 | +20% |": ["profit_level", "profit_growth"],
+    SHEET: ["profit_level", "profit_growth"],
+    "Earnings were Rs 72 lakh.": ["profit_level"],
+    "Turnover reached Rs 810 lakh, up 9%.": ["revenue_level", "revenue_growth"],
+    "Turnover rose 9%.": ["revenue_growth"],
+    "Sales growth of Rs 70 lakh was seen.": ["revenue_growth"],
+    "EBITDA fell 4.5% to Rs 72 lakh.": ["profit_level", "profit_growth"],
+    "EBIT was Rs 72 lakh, while turnover rose 9%.": ["revenue_growth", "profit_level"],
+    "The harbour board forecasts turnover growth of 6% in spring.": ["guidance_outlook"],
+    "| EBIT margin | 11% | 9% | +200 bps |": ["margins"],
+    "The margin fell to 11%.": ["margins"],
+    "Ferry exports made 18% of turnover, up from 12%.": [],
+    "Ticket numbers rose 9% to 4,100 passes.": [],
+    "EBITDA could rise 8% once the new pier opens.": ["guidance_outlook"],
+    "Turnover in 2025.": [],
+    "**Turnover** rose `9%`. The board expects more.": ["revenue_growth", "guidance_outlook"],
+    "The line sails at dawn.": [],
+    "Debtor days shrank. Borrowings paid for capex. Stakes were pledged. The board gave an outlook. A fine is under investigation.": [
+        "cash_collection", "debt_funding", "ownership_pledges", "guidance_outlook", "material_legal_risk"],
+    "The second pier is on track to open.": ["guidance_outlook"],
     "": [],
 }
 FIGURE_CASES = {
-    "Revenue was Rs 500 crore in Q1FY27.": ["500"], "Rs 1,25,000.50 and -7.00": ["125000.5", "7"], "in H1FY2026 and q4fy2026-27": [],
-    "On 30 JUNE 2026, June 30, 2026 and 2026-06-30 it was 600.": ["600"], "in 1999 and 2101": ["2101"], "−3% and +3%": ["3"],
+    "Turnover of Rs 810 lakh in Q3FY25.": ["810"], "Rs 2,50,000.250 and -9.0": ["250000.25", "9"], "over H2FY2025 and q1fy2024-25": [],
+    "By 31 MAY 2025, May 31, 2025 and 2025-05-31 it was 430.": ["430"], "from 1987 to 2150": ["2150"], "−8% or +8%": ["8"],
+    # A date word has two letters at least.
+    "Carried 5 x 2700 and 14 B 1600 crates": ["5", "2700", "14", "1600"], "on 14 Mb 1600 none": [],
 }
 
 
@@ -71,25 +69,26 @@ def _coverage(spark, sources, claims):
 
 
 def test_partial_coverage_lists_uncited_figures(spark):
-    plant = "The company says the new plant is on track to begin production."
+    pier = "The second pier is on track to open."
     summary, missing = _coverage(
-        spark, [{"quote": "Management expects revenue growth of 15 to 17 percent for FY27."}, {"quote": plant, "uid": "S1.u02"}],
-        [(plant, ["S1.u02"])])
+        spark, [{"quote": "The board expects turnover growth of 6 to 8 percent in FY26."}, {"quote": pier, "uid": "S1.u02"}],
+        [(pier, ["S1.u02"])])
     assert len(summary) == 10
-    assert (summary["guidance_outlook"].status, missing["guidance_outlook"]) == ("partial", ["15", "17"])
+    assert (summary["guidance_outlook"].status, missing["guidance_outlook"]) == ("partial", ["6", "8"])
     assert summary["guidance_outlook"].source_hits == 2
 
 
 def test_coverage_states(spark):
-    docs = [{"quote": "Profit was Rs 45 crore.", "status": "excluded"}, {"quote": "Borrowings increased.", "age": -1},
-            {"quote": "Promoter shares are pledged.", "age": 500}, {"quote": "Management gives guidance.", "tier": 3},
-            {"quote": "The company faces litigation.", "age": None}, {"quote": "Revenue was 500.", "age": 365},
-            {"quote": "Revenue was 500.", "sid": "S2", "uid": "S2.u03", "age": 0, "tier": 1}]
-    summary, missing = _coverage(spark, docs, [("Revenue was 500.", ["S1.u01"]), ("Profit rose 12.5%.", []), ("A lawsuit over 3.", [], False)])
+    """Only admitted, present, fresh, high-tier passages count; claims that were not accepted do not."""
+    docs = [{"quote": "EBIT was Rs 72 lakh.", "status": "excluded"}, {"quote": "Debt grew.", "age": -1},
+            {"quote": "Stakes were sold.", "age": 500}, {"quote": "An outlook was given.", "tier": 3},
+            {"quote": "A lawsuit is pending.", "age": None}, {"quote": "Turnover was 810.", "age": 365},
+            {"quote": "Turnover was 810.", "sid": "S2", "uid": "S2.u03", "age": 0, "tier": 1}]
+    summary, missing = _coverage(spark, docs, [("Turnover was 810.", ["S1.u01"]), ("EBIT fell 4.5%.", []), ("A fine of 3.", [], False)])
     assert {t: r.status for t, r in summary.items() if r.status != "not_found"} == {"revenue_level": "mentioned"}
     assert summary["profit_growth"].claims == 1 and missing["revenue_level"] == []
-    summary, missing = _coverage(spark, [{"quote": "Revenue was Rs 500 crore, then Rs 90 crore."}], [("Nothing.", ["S1.u01"])])
-    assert (summary["revenue_level"].status, missing["revenue_level"]) == ("review_needed", ["90", "500"])
+    summary, missing = _coverage(spark, [{"quote": "Turnover was Rs 810 lakh, then Rs 95 lakh."}], [("Nothing.", ["S1.u01"])])
+    assert (summary["revenue_level"].status, missing["revenue_level"]) == ("review_needed", ["95", "810"])
 
 
 def test_wilson(spark):
@@ -139,14 +138,16 @@ def test_run_folders_to_metrics(spark, tmp_path):
 
 def test_human_review(spark):
     item = lambda i, t, p: (i, t, p, "")
-    rows = [("a", None, "human", [item("a", "A claim.", True)], {}, None), ("b", "R", "model", [item("a", "A.", True)], {}, None),
+    rows = [("none", None, None, None, None, None), ("blank", "\t\n", "human", [], {}, None),
+            ("a", None, "human", [item("a", "A claim.", True)], {}, None), ("b", "R", "model", [item("a", "A.", True)], {}, None),
             ("c", "R", "human", [item("a", "A.", True), item("a", "A.", True)], {}, None),
-            ("d", "R", "human", [item("a", "A claim.", True), item("b", "B", None), item("c", " ", True), item("d", "D", False)],
+            ("d", "R", "human", [item("a", "A claim.", True), item("b", "B", None), item("c", "\t\n", True), item("d", "D", False)],
              {"scope": (True, ""), "unknown": (True, "")}, (2,))]
     labels = spark.createDataFrame(rows, "run_id string, reviewer string, reviewer_type string, "
                                    "supported_sample array<struct<id:string,text:string,pass:boolean,note:string>>, "
                                    "traps map<string,struct<pass:boolean,note:string>>, rounding_false_alarms struct<count:bigint>")
     got = {r.run_id: tuple(r)[1:] for r in runs.human_review(labels).collect()}
+    assert got["none"] == ("pending", "pending", "pending") and got["blank"][0] == "pending (reviewer missing)"
     assert got["a"] == ("pending (reviewer missing)", "pending", "pending") and got["b"][0] == "pending (human review required)"
     assert got["c"][0].startswith("invalid") and got["d"] == ("1/2 [9.5%, 90.5%]; 2 pending", "1/1 reviewed; 6 pending", "2")
 
@@ -192,6 +193,38 @@ def test_final_stage_falls_back_to_the_draft(spark):
         rows.withColumns({"section": F.lit("bull"), "accepted": F.lit(True)}), stages).collect()} == {("r", "draft"), ("s", "draft")}
 
 
+def test_runs_and_stages_without_claims_keep_their_rows(spark):
+    results = spark.createDataFrame([("full", "draft", 1, "bull", 0, [], True, False)],
+                                    "run_id string, stage string, stage_no int, section string, idx int, code_errors array<string>, accepted boolean, kind_confirmed boolean")
+    every = spark.createDataFrame([("full",), ("bare",), ("out",)], "run_id string")
+    stages = spark.createDataFrame([("full", "draft", 1, True), ("bare", "draft", 1, True), ("bare", "format_repair", 2, True), ("out", "draft", 1, False)],
+                                   "run_id string, stage string, stage_no int, succeeded boolean")
+    notices = spark.createDataFrame([("out", "Screening failed.")], "run_id string, notice string")
+    final = passes.final_results(results, stages)
+    got = {r.run_id: (r.n, r.cited_low, r.accepted_claims, r.system_open_questions) for r in passes.run_metrics(every, final, notices).collect()}
+    assert got["bare"] == (0, None, 0, 0) and got["out"] == (0, None, 0, 1) and got["full"][0] == 1
+    lost = spark.createDataFrame([("out", True)], "run_id string, unavailable boolean")
+    words = spark.createDataFrame([("full", 9)], "run_id string, word_count int")
+    status = {r.run_id: (r.status, len(r.warnings)) for r in passes.run_status(every, final, lost, words).collect()}
+    assert status == {"full": ("incomplete", 4), "bare": ("incomplete", 5), "out": ("verification_unavailable", 5)}
+    faults = spark.createDataFrame([("bare", "draft", 1, "No arrays.")], "run_id string, stage string, stage_no int, error string")
+    failures = passes.structure_failures(results, stages, faults)
+    assert sorted((r.run_id, r.stage, r.error[:8]) for r in failures.collect()) == [
+        ("bare", "draft", "No array"), ("bare", "format_repair", "Snapshot"), ("full", "draft", "Snapshot")]
+    summary = {(r.run_id, r.stage): (r.accepted, r.failed, r.repair_requested) for r in passes.stage_summary(stages, results, failures).collect()}
+    assert summary == {("full", "draft"): (1, 1, 1), ("bare", "draft"): (0, 1, 0), ("bare", "format_repair"): (0, 1, 0), ("out", "draft"): (0, 0, 0)}
+
+
+def test_broken_bytes_make_an_artifact_unreadable_and_size_only_a_display(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "config.json").write_bytes(b'{"arm":"B\xff"}')
+    _write(tmp_path / "r2" / "config.json", {"arm": "C", "ticker": "x" * 200})
+    files = artifacts.scan(spark, str(tmp_path), "config.json")
+    got = {r.run_id: r.unreadable for r in artifacts.read(artifacts.named(files), schemas.CONFIG).collect()}
+    assert got == {"r1": True, "r2": False}
+    assert all(r.unreadable for r in artifacts.read(artifacts.named(files, most_bytes=50), schemas.CONFIG).collect())
+
+
 def test_draft_schema_is_closed(spark):
     good = '{"text":"t","kind":"reported_fact","cites":["a"]}'
     cases = {
@@ -202,7 +235,7 @@ def test_draft_schema_is_closed(spark):
         "no list": ('{"snapshot":{},"bull":[],"bear":[],"open_questions":[]}', ["snapshot: expected an array"]),
         "extra key": ('{"snapshot":[{"text":"t","kind":"reported_fact","cites":[],"x":1}],"bull":[],"bear":[],"open_questions":[]}', ["snapshot[0]: invalid claim shape"]),
         "number cite": ('{"snapshot":[],"bull":[%s,{"text":"t","kind":"reported_fact","cites":[1]}],"bear":[],"open_questions":[]}' % good, ["bull[1]: invalid claim shape"]),
-        "blank": ('{"snapshot":[],"bull":[{"text":" ","kind":"reported_fact","cites":[]}],"bear":[null],"open_questions":[]}',
+        "blank": ('{"snapshot":[],"bull":[{"text":"\\n\\t","kind":"reported_fact","cites":[]}],"bear":[null],"open_questions":[]}',
                   ["bull[0]: invalid claim shape", "bear[0]: invalid claim shape"]),
     }
     rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "run_id string, json string")
