@@ -116,6 +116,8 @@ RELATIONS = ("supports", "contradicts", "says_nothing")
 SCORE_LEVELS = 3
 
 # --- topics ------------------------------------------------------------------
+#: Why a document is outside the topic check, and how a notice says it.
+OUTSIDE = {"not_admitted": "not admitted", "not_primary": "not primary", "unknown_age": "of unknown age", "future": "dated after the as-of date", "older": "older"}
 TOPICS = (
     ("revenue_level", "Revenue level"),
     ("revenue_growth", "Revenue growth"),

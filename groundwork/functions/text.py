@@ -1,8 +1,10 @@
 """Text columns: normalising, hidden content, lines, hosts, words, durations."""
 
+import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,7 +18,7 @@ def _compose(values: pd.Series) -> pd.Series:
 
 
 def nfkc(text):
-    """Unicode compatibility form. Spark has no built-in, so this is the one UDF.
+    """Unicode compatibility form. Spark has no built-in, so this is a UDF.
 
     ASCII text is already in that form: it is passed over as NULL, so only rows
     that can change cross to Python with their text.
@@ -157,3 +159,31 @@ def glossary(text):
     hits = [F.when(text.rlike(pattern), F.struct(F.lit(name).alias("term"), F.lit(meaning).alias("definition")))
             for pattern, name, meaning in fixed.TERMS]
     return F.array_compact(F.array(*hits))
+
+
+def _without_secrets(value, secret):
+    if isinstance(value, dict):
+        return {k: _without_secrets(v, secret) for k, v in value.items() if k.lower() not in fixed.SECRET_KEYS}
+    if isinstance(value, list):
+        return [_without_secrets(v, secret) for v in value]
+    if isinstance(value, str) and secret and secret != "public":
+        return value.replace(secret, "[redacted]")
+    return value
+
+
+def redacted_json(text, secret):
+    """Nested JSON without credentials at any depth and with a known secret masked, keys in order, fit for hashing.
+
+    No column function walks a value of unknown depth, so this one is an Arrow-batched
+    helper; text that is no JSON gives NULL.
+    """
+    def one(text, secret):
+        try:
+            return json.dumps(_without_secrets(json.loads(text), secret), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    @F.arrow_udf("string")
+    def redacted(texts: pa.Array, secrets: pa.Array) -> pa.Array:
+        return pa.array([one(t, s) for t, s in zip(texts.to_pylist(), secrets.to_pylist())], pa.string())
+    return redacted(text, secret)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from groundwork import fixed
+from groundwork import fixed, schemas
 from groundwork.functions.stats import count_or_null, interval_text
 from groundwork.functions.text import safe_code, strip
 from groundwork.operators import ordering
@@ -27,15 +27,34 @@ def run_artifacts(runs, config, checks, timings, labels):
                        broken.alias("unreadable"), notice.alias("notice"))
 
 
+def _tokens(call):
+    """Input, output and total of a call, each under the first alias it reports."""
+    incoming = F.coalesce(count_or_null(call("prompt_tokens")), count_or_null(call("input_tokens")))
+    outgoing = F.coalesce(count_or_null(call("completion_tokens")), count_or_null(call("output_tokens")))
+    return incoming, outgoing, F.coalesce(count_or_null(call("total_tokens")), incoming + outgoing)
+
+
+def usage_text(calls, attempts):
+    """The totals of ``usage_totals`` for calls kept as an array of a run's row, as text; nothing is exploded or joined."""
+    calls = F.coalesce(calls, F.expr(f"cast(array() as array<{schemas.USAGE}>)"))
+    read = F.transform(calls, lambda c: F.struct(*[x.alias(n) for n, x in zip(("i", "o", "t"), _tokens(lambda name: c[name]))]))
+
+    def sum_of(name):
+        known = F.filter(F.transform("_read", lambda r: r[name]), lambda v: v.isNotNull())
+        return F.size(known), F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, v: a + v))
+    parts = [sum_of(name) for name in ("i", "o", "t")]
+    seen = F.least(*[n for n, _ in parts])
+    partial = (F.size("_read") > 0) & (seen < F.greatest(F.size("_read"), attempts))
+    return read, token_text(*[total for _, total in parts], partial)
+
+
 def usage_totals(calls, attempts):
     """Token totals per run; each call counts once, under the first alias it reports.
 
     ``calls``: run_id and the five token columns. ``attempts``: run_id, attempts.
     A total nothing reported stays NULL; ``partial`` marks runs with unreported calls.
     """
-    incoming = F.coalesce(count_or_null(F.col("prompt_tokens")), count_or_null(F.col("input_tokens")))
-    outgoing = F.coalesce(count_or_null(F.col("completion_tokens")), count_or_null(F.col("output_tokens")))
-    total = F.coalesce(count_or_null(F.col("total_tokens")), incoming + outgoing)
+    incoming, outgoing, total = _tokens(F.col)
     rows = calls.select("run_id", incoming.alias("input"), outgoing.alias("output"), total.alias("total"))
     sums = rows.groupBy("run_id").agg(
         F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("total").alias("total"),
@@ -104,13 +123,10 @@ def human_review(labels):
 
 def metrics_rows(artifacts):
     """The eleven columns reported per run; an unreadable run stays visible."""
-    usage = artifacts.select("run_id", F.explode("timings.usage").alias("_u")).select("run_id", "_u.usage.*")
     def tries(name):
         return F.coalesce(count_or_null(F.col(f"timings.{name}")), F.lit(0))
-    attempts = artifacts.select("run_id", (tries("writer_attempts") + tries("jev_attempts")).alias("attempts"))
-    totals = usage_totals(usage, attempts).select(
-        "run_id", token_text(F.col("input"), F.col("output"), F.col("total"), F.col("partial")).alias("tokens"))
-    rows = artifacts.join(totals, "run_id", "left")
+    read, tokens = usage_text(F.transform("timings.usage", lambda u: u["usage"]), tries("writer_attempts") + tries("jev_attempts"))
+    rows = artifacts.withColumn("_read", read).withColumn("tokens", tokens)
     checked = F.coalesce(F.col("config.arm"), F.lit("")) != "A"
     def ratio(name):
         return interval_text(F.when(checked, F.col(f"checks.metrics.{name}.k")), F.when(checked, F.col(f"checks.metrics.{name}.n")))
@@ -177,6 +193,21 @@ def returned_models(attempts):
         F.array_sort(F.collect_set("model")).alias("models"))
 
 
+def withheld(evidence, saved, present, parsers, parser_hash):
+    """Evidence rows with ``available``: only where the run's saved files are the files at hand, read by the same parser.
+
+    ``evidence``: run_id and any columns. ``parsers``: (run_id, parser_sha256) as saved.
+    A run without saved files, with a saved name that is a path, or read by another
+    parser (or an unknown one) shows no evidence.
+    """
+    same = manifest_identity(saved, present).select("run_id", "evidence_available")
+    names = saved.groupBy("run_id").agg(F.count(F.lit(1)).alias("_saved"), F.bool_or(F.col("name").rlike(r"[/\\\\]|^\.{0,2}$")).alias("_path"))
+    checks = names.join(same, "run_id").join(parsers.groupBy("run_id").agg(F.min("parser_sha256").alias("_parser")), "run_id", "left")
+    good = F.col("evidence_available") & ~F.col("_path") & F.coalesce(F.col("_parser") == parser_hash, F.lit(False))
+    return evidence.join(checks.select("run_id", good.alias("_good")), "run_id", "left").withColumn(
+        "available", F.coalesce("_good", F.lit(False))).drop("_good")
+
+
 def manifest_identity(saved, present):
     """Whether each run's saved files are the files at hand: same names, same hashes.
 

@@ -134,3 +134,19 @@ def source_hits(spark, sf):
     """Every passage that mentions a topic, with its figures."""
     _, units, _ = inputs(spark, sf)
     return coverage.source_hits(units).select("pack_id", "topic", "uid", joined("figures", ",").alias("figures"))
+
+
+@query("coverage_notes", "WITH " + COVER_SQL + """
+SELECT pack_id, topic, CASE status WHEN 'partial' THEN missing || ' figure(s) of uncited passages are in no accepted claim.' WHEN 'review_needed' THEN hits || ' passage(s) touch this topic and no accepted claim does.'
+  WHEN 'not_found' THEN 'No recent primary passage touches this topic.' END AS note FROM cv
+UNION ALL SELECT pack_id, 'all', 'Checked ' || count(*) FILTER (why IS NULL) || ' recent primary document(s)' || CASE WHEN count(why) > 0 THEN '; outside this check: ' || concat_ws(', ',
+  CASE WHEN count(*) FILTER (why = 'a') > 0 THEN count(*) FILTER (why = 'a') || ' not admitted' END, CASE WHEN count(*) FILTER (why = 'b') > 0 THEN count(*) FILTER (why = 'b') || ' not primary' END,
+  CASE WHEN count(*) FILTER (why = 'd') > 0 THEN count(*) FILTER (why = 'd') || ' dated after the as-of date' END, CASE WHEN count(*) FILTER (why = 'e') > 0 THEN count(*) FILTER (why = 'e') || ' older' END) ELSE '' END || '.'
+FROM (SELECT pack_id, CASE WHEN p = '5-LOW' THEN 'a' WHEN tier > 2 THEN 'b' WHEN age < 0 THEN 'd' WHEN age > 365 THEN 'e' END AS why FROM n) GROUP BY pack_id""")
+def coverage_notes(spark, sf):
+    """A line per topic that needs a look, and one on what each pack's check covered."""
+    docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt")))
+    units = corpus.filing_units(docs, keep=KEEP)
+    claims = corpus.claims(docs).join(docs.select(F.col("k").alias("claim_id"), (F.col("s") == "F").alias("accepted")), "claim_id")
+    lines = coverage.notes(coverage.topic_summary(docs.select("pack_id").distinct(), units, claims)).select("pack_id", "topic", "note")
+    return lines.unionByName(coverage.pack_notices(docs).select("pack_id", F.lit("all").alias("topic"), F.col("notice").alias("note")))

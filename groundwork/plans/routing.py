@@ -242,7 +242,7 @@ def judged_claims(spark, sf):
 def resolved_claims(spark, sf):
     keyed, units, docs, answers = judged_claims(spark, sf)
     checked = grounding.check_claims(keyed, units)
-    per_claim, findings = verdicts.cross_tier(keyed, units, docs, answers)
+    per_claim, findings = verdicts.cross_tier(checked, docs, answers)
     return verdicts.resolve(checked, verdicts.cited_evidence(answers), per_claim), findings
 
 
@@ -259,7 +259,7 @@ SELECT k AS claim_id, CAST(tconflict AS BIGINT) AS contradictions, CAST(topen AS
 def cross_tier(spark, sf):
     """Low-tier claims against the admitted high-tier documents of their pack."""
     keyed, units, docs, answers = judged_claims(spark, sf)
-    per_claim, _ = verdicts.cross_tier(keyed, units, docs, answers)
+    per_claim, _ = verdicts.cross_tier(grounding.check_claims(keyed, units), docs, answers)
     return per_claim.drop("pack_id")
 
 
@@ -269,7 +269,7 @@ SELECT pack_id, k AS claim_id, hsid AS higher_tier_source, sid AS cited_sources,
 def tier_conflicts(spark, sf):
     """The comparisons that contradict or stay open, one row each."""
     keyed, units, docs, answers = judged_claims(spark, sf)
-    _, findings = verdicts.cross_tier(keyed, units, docs, answers)
+    _, findings = verdicts.cross_tier(grounding.check_claims(keyed, units), docs, answers)
     return findings.select("pack_id", "claim_id", "higher_tier_source", joined("cited_sources", ",").alias("cited_sources"), "conflict", "error")
 
 

@@ -453,3 +453,55 @@ def masked_logs(spark, sf):
     secret = F.when(F.col("k") < 10, "public").otherwise(F.concat(F.lit("sk-"), "event_id"))
     rows = events(spark, sf).select("event_id", secret.alias("s"))
     return rows.select("event_id", tx.masked(F.concat(F.lit("key "), "s", F.lit(" of "), "s", F.lit(" user")), F.col("s")).alias("message"))
+
+
+@query("withheld_evidence", """
+WITH f AS (SELECT doc_id, source, lang, sha256(text) AS h, CASE WHEN toxic = 1 AND source IN ('src1', 'src2') THEN sha256(text || '.') ELSE sha256(text) END AS p,
+  CASE WHEN source = 'src3' AND doc_id % 50 = 0 THEN 'x/' ELSE '' END || doc_id AS name FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT source, bool_and(h = p) AND NOT bool_or(name LIKE 'x/%') AND source NOT IN ('src4', 'src5') AND source <> 'src6' AS ok FROM f GROUP BY source)
+SELECT doc_id, source AS run_id, ok AS available FROM f JOIN g USING (source)""")
+def withheld_evidence(spark, sf):
+    """Passages shown only where a run's saved files are at hand unchanged, with plain names and read by this parser."""
+    docs = spread(read(spark, sf, "documents").select("doc_id", F.col("source").alias("run_id"), "text")).join(read(spark, sf, "labels"), "doc_id", "left")
+    name = F.concat(F.when((F.col("run_id") == "src3") & (F.col("doc_id") % 50 == 0), "x/").otherwise(""), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", "run_id", name.alias("name"), F.sha2("text", 256).alias("sha256"), F.sha2(F.when(
+        (F.col("toxic") == 1) & F.col("run_id").isin("src1", "src2"), F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("now"))
+    saved = files.filter("run_id <> 'src6'").select("run_id", "name", "sha256")  # src6 saved no files
+    parsers = files.select("run_id").distinct().filter("run_id <> 'src4'").withColumn("parser_sha256", F.when(F.col("run_id") == "src5", "old").otherwise("new"))
+    return runs.withheld(files.select("doc_id", "run_id"), saved, files.select("run_id", "name", F.col("now").alias("sha256")), parsers, "new")
+
+
+@query("run_conflicts", "WITH " + RESULT_SQL + """
+SELECT run_id, 'Order ' || k AS text, 'S1' AS higher_tier_source, 'S' || k AS cited_sources FROM r WHERE cents % 13 = 0""")
+def run_conflicts(spark, sf):
+    """Conflicts of all passes of a run, replaced drafts included."""
+    conflict = F.struct(F.lit("S1").alias("higher_tier_source"), F.array(F.concat(F.lit("S"), "idx")).alias("cited_sources"), F.lit(0.9).alias("confidence"))
+    rows = results(spark, sf).withColumn("conflicts", F.when(F.col("cents") % 13 == 0, F.array(conflict)))
+    return passes.conflicts(rows).withColumn("cited_sources", joined("cited_sources", ","))
+
+
+@query("stored_attempts", "WITH " + EVENT_SQL + """
+SELECT user_id AS run_id, CASE WHEN event_type IN ('click', 'view') THEN 'writer' ELSE 'verifier' END AS provider, count(*) FILTER (k >= 5) AS attempts, count(*) FILTER (k < 5) AS unreadable,
+  count(*) FILTER (k >= 5 AND k < 40) AS failed FROM e GROUP BY 1, 2""")
+def stored_attempts(spark, sf):
+    """Attempt logs read from their JSON text; a broken log is counted and stops nothing."""
+    log = F.concat(F.lit('[{"attempt":1,"status":"'), F.when(F.col("k") < 40, "error").otherwise("ok"), F.lit('","http_status":'), F.col("k").cast("string"),
+                   F.lit(',"elapsed_s":1.5,"model":"m","other":[1]}'), F.when(F.col("k") >= 5, "]").otherwise(""))
+    writes = F.col("event_type").isin("click", "view")
+    files = events(spark, sf).select(F.col("user_id").alias("run_id"), writes.alias("writer"), log.alias("json"), F.lit(False).alias("too_large"))
+    stored = artifacts.read(files, schemas.ATTEMPTS)
+    rows = runs.attempt_rows(stored.filter("writer"), stored.filter("not writer"))
+    good = rows.groupBy("run_id", "provider").agg(F.count("*").alias("attempts"), F.count_if(F.col("status") == "error").alias("failed"))
+    bad = stored.groupBy("run_id", F.when(F.col("writer"), "writer").otherwise("verifier").alias("provider")).agg(F.count_if("unreadable").alias("unreadable"))
+    return bad.join(good, ["run_id", "provider"], "left").select("run_id", "provider", F.coalesce("attempts", F.lit(0)).alias("attempts"), "unreadable", F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
+@query("nested_redaction", "WITH " + EVENT_SQL + """
+SELECT event_id, '{"body":{"list":[{"n":' || k || '},"[redacted] ' || event_type || '"],"model":"m"},"id":' || v || '}' AS request FROM e""")
+def nested_redaction(spark, sf):
+    """Nested requests without credentials at any depth, in canonical form, with known secrets masked."""
+    secret = F.concat(F.lit("sk-"), "event_id")
+    request = F.concat(F.lit('{"id":'), F.col("v").cast("string"), F.lit(',"headers":{"x":[1,2]},"body":{"model":"m","api_key":"'), secret, F.lit('","list":[{"n":'), F.col("k").cast("string"),
+                       F.lit(',"Authorization":{"a":"b"}},"'), secret, F.lit(' '), "event_type", F.lit('"]}}'))
+    rows = events(spark, sf).select("event_id", request.alias("request"), secret.alias("secret"))
+    return rows.select("event_id", tx.redacted_json(F.col("request"), F.col("secret")).alias("request"))

@@ -125,7 +125,8 @@ def test_cross_tier_needs_every_comparison(spark):
                                  "pack_id string, sid string, status string, tier int")
     rows = [("p", "a", "higher_tier:S1", "relation", 1, "contradicts", .9, 1), ("p", "a", "higher_tier:S2", "relation", 1, "says_nothing", .9, 1),
             ("p", "a", "higher_tier:S3", "relation", 1, "contradicts", .9, 1), ("p", "b", "higher_tier:S1", "relation", 1, "supports", .9, 1)]
-    per_claim, findings = verdicts.cross_tier(claims, units, docs, spark.createDataFrame(rows, ANSWERS))
+    claims = claims.withColumns({"section": F.lit("bull"), "text": F.lit("Text."), "kind": F.lit("reported_fact")})
+    per_claim, findings = verdicts.cross_tier(grounding.check_claims(claims, units), docs, spark.createDataFrame(rows, ANSWERS))
     assert {r.claim_id: (r.contradictions, r.unresolved, r.tier_unavailable) for r in per_claim.collect()} == {
         1: (1, 0, False), 2: (0, 0, True)}
     assert [(r.claim_id, r.higher_tier_source, r.cited_sources, r.error) for r in findings.collect()] == [
