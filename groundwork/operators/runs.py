@@ -7,6 +7,7 @@ from groundwork import fixed, schemas
 from groundwork.functions.stats import count_or_null, interval_text
 from groundwork.functions.text import safe_code, strip
 from groundwork.operators import ordering
+from groundwork.sources.artifacts import valid_runs
 
 
 def run_artifacts(runs, config, checks, timings, labels):
@@ -21,10 +22,11 @@ def run_artifacts(runs, config, checks, timings, labels):
     foreign = F.col("labels").isNotNull() & ~F.coalesce(F.col("labels.run") == F.col("run_id"), F.lit(False))
     broken = F.coalesce("_config", F.lit(False)) | F.coalesce("_checks", F.lit(False)) | F.coalesce(
         "_timings", F.lit(False)) | F.coalesce("_labels", F.lit(False))
+    damaged = F.coalesce("_config", F.lit(False)) | F.coalesce("_checks", F.lit(False)) | F.coalesce("_timings", F.lit(False))
     notice = (F.when(broken, F.concat("run_id", F.lit(": an artifact could not be summarized; inspect that run's JSON files.")))
               .when(foreign, F.concat("run_id", F.lit(": review labels name another run and were ignored."))))
     return rows.select("run_id", "config", "checks", "timings", F.when(~foreign, F.col("labels")).alias("labels"),
-                       broken.alias("unreadable"), notice.alias("notice"))
+                       broken.alias("unreadable"), damaged.alias("damaged"), notice.alias("notice"))
 
 
 def _tokens(call):
@@ -235,6 +237,11 @@ def run_summary(artifacts):
         F.col("config.writer_requested_model").alias("writer_model"), verifier.alias("verifier_model"))
 
 
+def listed(artifacts):
+    """Runs that a history shows: a plain folder name, a config, and no damaged artifact among those it reads."""
+    return valid_runs(artifacts).filter(F.col("config").isNotNull() & ~F.col("damaged"))
+
+
 def newest_first(runs):
     """All runs with their ``place``, newest first; equal times go by id, highest first.
 

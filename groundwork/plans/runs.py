@@ -400,6 +400,16 @@ def run_history(spark, sf):
     return runs.search(runs.run_summary(stored(spark, sf)), " T1").select("id", "company", "status", "claims_count", "verifier_model")
 
 
+@query("run_listing", "WITH " + STORED_SQL + """
+SELECT run_id AS id, 'T' || c AS company, arm FROM a WHERE p <> '5-LOW' AND run_id NOT LIKE '%0' AND run_id NOT LIKE '%1'""")
+def run_listing(spark, sf):
+    """Runs fit for a history: some have no plain name, no config, or a damaged artifact."""
+    rows = stored(spark, sf)
+    rows = rows.withColumn("config", F.when(~F.col("run_id").endswith("1"), F.col("config"))).withColumn(
+        "run_id", F.when(F.col("run_id").endswith("0"), F.concat(F.lit("."), "run_id")).otherwise(F.col("run_id")))
+    return runs.run_summary(runs.listed(rows)).select("id", "company", "arm")
+
+
 @query("history_shortlist", """
 SELECT o_custkey AS c, o_orderkey AS id, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC,
   o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P' DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3 OR c % 2 = 0""".replace("c % 2", "o_custkey % 2"))
