@@ -96,16 +96,14 @@ def _marked_run(heads, starts, start, k):
         mark.isNotNull(), F.regexp_replace(r["line"], F.lit(fixed.NUMBER), F.concat(F.lit("$0"), mark))).otherwise(r["line"])))
 
 
-QUANTITY = ("struct<text:string,dimension:string,key:string,value:decimal(38,12),"
-            "exponent:int,prec:int,approx:boolean>")
+QUANTITY = "struct<text:string,dimension:string,key:string,exponent:int,prec:int,approx:boolean>"
 
 
 def quantities(text):
     """Numbers in a text with unit, sign and approximation, as an array of structs.
 
     ``key`` is the exact value written canonically (sign, digits, exponent), so
-    equality is a string test at any length; ``value`` is the same as a decimal
-    for rounding. Dates, period labels and bare years are no numbers.
+    equality is a string test at any length; ``decimal_of`` gives it as a decimal. Dates, period labels and bare years are no numbers.
     """
     t = F.translate(text, "−" + _MARKS, "-" + _OTHER * len(_MARKS))
     t = F.regexp_replace(t, fixed.FULL_DATE, " ")
@@ -153,10 +151,14 @@ def _value(q):
     return F.struct(
         q["text"].alias("text"), q["dimension"].alias("dimension"),
         F.when(short == "", "0").otherwise(F.concat(q["sign"], short, F.lit("e"), power.cast("string"))).alias("key"),
-        F.concat(q["sign"], q["bare"], F.lit("e"), q["exponent"].cast("string")).try_cast("decimal(38,12)").alias("value"),
         q["exponent"].alias("exponent"), q["prec"].alias("prec"), q["approx"].alias("approx"))
 
 
+def decimal_of(key):
+    """A canonical key as a decimal, for sums; NULL where it does not fit."""
+    return key.try_cast("decimal(38,12)")
+
+
 def _parts(key):
     """Sign, digits and power of ten of a canonical key; zero has no digits."""
     zero = key == "0"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from groundwork import fixed
-from groundwork.functions.numbers import dates, number_errors, quantities, undated, unsupported
+from groundwork.functions.numbers import dates, decimal_of, number_errors, quantities, undated, unsupported
 from groundwork.functions.text import claim_key, source_ids
 from groundwork.operators import grounding
 from groundwork.plans import corpus
@@ -118,7 +118,7 @@ def number_tokens(spark, sf):
                     F.lit(" bps, line "), "ln", F.lit("x."))
     found = rows.select(F.explode(quantities(text)).alias("q"))
     return found.groupBy(F.col("q.dimension").alias("dimension")).agg(
-        F.count("*").alias("numbers"), F.sum(F.col("q.value").cast("bigint")).alias("total"),
+        F.count("*").alias("numbers"), F.sum(decimal_of(F.col("q.key")).cast("bigint")).alias("total"),
         F.count_distinct("q.key").alias("different"))
 
 
@@ -132,7 +132,7 @@ def range_units(spark, sf):
     text = F.concat(F.lit("Between "), "disc", F.lit(" to "), F.col("disc") + F.col("tax"), F.lit(" percent and "), "qty",
                     F.lit(" – "), F.col("qty") + F.col("ln"), F.lit(" lakh."))
     found = rows.select(F.explode(quantities(text)).alias("q"))
-    return found.groupBy(F.col("q.dimension").alias("dimension"), F.col("q.value").cast("bigint").alias("value")).agg(
+    return found.groupBy(F.col("q.dimension").alias("dimension"), decimal_of(F.col("q.key")).cast("bigint").alias("value")).agg(
         F.count("*").alias("n"))
 
 
@@ -160,7 +160,7 @@ def table_currency(spark, sf):
                     "pct", F.lit("% |\n| Debt | "), "debt", F.lit(" | -"), "pct", F.lit("% |\n\nIn 1999 nothing."))
     rows = rows.select("k", quantities(text).alias("q"))
     def nth(i):
-        return F.get("q", F.lit(i))["value"].cast("bigint")
+        return decimal_of(F.get("q", F.lit(i))["key"]).cast("bigint")
     return rows.select("k", nth(0).alias("revenue"), nth(2).alias("debt"), nth(1).alias("up"), nth(3).alias("down"))
 
 
