@@ -122,7 +122,7 @@ def hits(docs, items):
     sizes = windows.groupBy("size").agg(F.countDistinct("fingerprint").alias("n")).collect()  # WINDOW rows at most
     filters = {row["size"]: bloom(windows.filter(F.col("size") == row["size"]).select("fingerprint").distinct(), row["n"]) for row in sizes}
     rows = shared.stage(candidate_windows(docs, filters))
-    known = windows.groupBy("fingerprint", "window", "size").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    known = shared.stage(windows.groupBy("fingerprint", "window", "size").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     matched = rows.select("rid", F.explode("windows").alias("w")).select("rid", "w.*").join(known, ["fingerprint", "window", "size"])
     found = matched.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"),
                                        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
