@@ -109,7 +109,7 @@ def mix(docs, domains=DOMAINS, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOC
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for n, c in leaf_columns(docs, domains).items()], words.alias("n_tokens"))
     rows = shared.stage(rows)
-    chosen = rows.join(plan(rows, weights, share, max_epochs, seed), list(LEVELS))
+    chosen = rows.join(shared.stage(plan(rows, weights, share, max_epochs, seed)), list(LEVELS))
     key = order_key(seed, F.col("epochs"))
     prefix = F.substring(key, 1, 3)
     in_prefix = (F.col("left") > 0) & ((prefix < F.col("bucket")) | ((prefix == F.col("bucket")) & (F.struct(key.alias("key"), "doc_id", "n_tokens") <= F.col("cut"))))
