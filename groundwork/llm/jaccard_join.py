@@ -217,7 +217,7 @@ def grouped(docs, threshold=THRESHOLD):
     # Classes of one row without links need no entry.
     info = classes.select("cid", "rep", "n_docs").join(in_groups, "cid", "left").join(counts, "cid", "left").filter("n_docs > 1 or lead is not null")
     info = info.select("cid", F.coalesce("lead", "rep").alias("lead"), F.coalesce("lead_cid", "cid").alias("lead_cid"), (F.col("n_docs") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "thash", "n", "cid").join(info, "cid", "left")
+    out = rows.select("doc_id", "thash", "n", "cid").join(shared.stage(info), "cid", "left")
     is_first = F.col("lead").isNull() | ((F.col("lead_cid") == F.col("cid")) & F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("thash") == F.col("lead.thash")))
     return out.select("doc_id", "thash", F.col("n").alias("n_shingles"), F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), is_first.alias("is_first"))
