@@ -239,7 +239,7 @@ def _joined(pieces):
 
 
 def _with_runs(docs, span, gram):
-    runs = repeated(docs, span, gram).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+    runs = shared.stage(repeated(docs, span, gram)).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__a", F.xxhash64(text)).withColumn("__b", F.xxhash64(F.lit("second"), text))
     return keyed.join(runs, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left").drop("__a", "__b", "__k1", "__k2")
