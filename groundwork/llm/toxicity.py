@@ -6,21 +6,26 @@ recognized. Both tables have a fixed number of hashed rows. Two gated recurrent
 from both sides, attention pools their states, a linear unit gives the logit. A text's score is
 that of its highest window; windows overlap, so short phrases are whole in one of them.
 
-The network is trained here with numpy, on a bounded sample of labelled rows (`MAX_TOXIC`, `MAX_CLEAN`,
-`MAX_TRAIN_BYTES`): a text counts by its highest window (multiple-instance learning). Every whole text is
-scored, in Arrow batches; the model is broadcast, and its size is fixed by the numbers below.
+The network is trained here with numpy, on a bounded sample of labelled rows (`MAX_TOXIC`, `MAX_CLEAN`) of
+any length: a text counts by its highest window (multiple-instance learning). The sampled texts are cut into
+windows on the executors. A text of more than `TRAIN_WINDOWS` windows, or of more than `TRAIN_BYTES` bytes in
+its words, gives the windows that come first by a seeded hash over the whole text, up to both numbers and
+at least one. Every whole text is scored, in Arrow batches; the model is broadcast, and its size is fixed by
+the numbers below.
 
 Null, empty and wordless texts get the score of the share of toxic rows in training. Without training
-rows of both kinds all scores are 0. Repeated rows score alike. Further columns are kept by `scored`, but
+rows of both kinds all scores are 0, with a warning where the labels drawn hold both kinds but no documents of one. Repeated rows score alike. Further columns are kept by `scored`, but
 `score` and `predicted` of the input are replaced.
 """
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from groundwork.llm import shared
-from groundwork.llm.words import Words, raw, slices
+from groundwork.llm.words import Words, mix, raw, slices
 
 WINDOW = 24
 STEP = 20
@@ -29,7 +34,8 @@ EMBED = 8
 BUCKETS = 1 << 15
 MAX_TOXIC = 1_200
 MAX_CLEAN = 3_000
-MAX_TRAIN_BYTES = 1 << 13
+TRAIN_WINDOWS = 128
+TRAIN_BYTES = 1 << 15
 EPOCHS = 6
 BATCH = 128
 RATE = 0.01
@@ -61,17 +67,22 @@ class Vocabulary:
 
 
 class Joined:
-    """Words of many texts, taken slice by slice so that only a slice's bytes are blown up at a time."""
+    """Words of many texts, taken slice by slice; of each slice the distinct words are kept (`low`, `start`, `end`), and which of them each word is (`of`)."""
 
     def __init__(self, texts):
         offsets = np.cumsum([0, *map(len, texts)])
-        parts, begun, seen = [], 0, 0
+        parts, begun, distinct, seen = [], 0, 0, 0
         for a, b in slices(offsets):
             words = Words(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a:b + 1] - offsets[a])
-            parts.append((words.low, words.start + begun, words.end + begun, words.first[:-1] + seen, words.hashes()))
-            begun, seen = begun + len(words.low), seen + len(words.start)
-        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in (np.uint8, np.int64, np.int64, np.int64, np.uint64)]
-        self.low, self.start, self.end, self.first, self._hashes = columns
+            hashes, at, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            start, size = words.start[at], words.end[at] - words.start[at]
+            end = np.cumsum(size)
+            low = words.low[np.repeat(start - (end - size), size) + np.arange(size.sum())]
+            parts.append((low, end - size + begun, end + begun, words.first[:-1] + seen, hashes, (of + distinct).astype(np.int32)))
+            begun, distinct, seen = begun + len(low), distinct + len(hashes), seen + len(words.start)
+        kinds = (np.uint8, np.int64, np.int64, np.int64, np.uint64, np.int32)
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
+        self.low, self.start, self.end, self.first, self._hashes, self.of = columns
         self.first = np.append(self.first, seen)
 
     def hashes(self):
@@ -203,25 +214,30 @@ class _Part:
 
 
 def train(texts, toxic):
-    """The model for byte texts and their labels; None without labels of both kinds."""
+    """The model for texts and their labels; None without labels of both kinds. A text is bytes, or a list of some of its windows."""
     toxic = np.asarray(toxic, np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return None
     rng = np.random.default_rng(SEED)
     model = new_model(rng)
     model["empty"][0] = toxic.mean()
-    words = Joined(texts)
+    pieces = [[text] if isinstance(text, bytes) else text for text in texts]
+    begin = np.cumsum([0, *map(len, pieces)])
+    words = Joined([piece for text in pieces for piece in text])
     if not len(words.start):
         return model
     vocabulary = Vocabulary(words)
+    vocabulary.of = vocabulary.of.astype(np.int32)[words.of]
     known = {}
-    for name, (odds, often) in _log_odds(vocabulary, words.first, toxic).items():
+    for name, (odds, often) in _log_odds(vocabulary, words.first[begin], toxic).items():
         model[name][:, 0], known[name] = odds, often
         model[name][~often] = 0
 
     places, row = windows(words)
+    row = np.repeat(np.arange(len(pieces)), np.diff(begin))[row]
     mask = places >= 0
-    ids = np.where(mask, vocabulary.of[places], len(vocabulary.word)).astype(np.int32)
+    ids = np.where(mask, vocabulary.of[places], np.int32(len(vocabulary.word)))
+    del places
     x = all_inputs(model, vocabulary)
     logit = (x[:, 0] + x[:, EMBED])[ids].max(axis=1)  # the first choice of windows
     second = {k: np.zeros_like(v) for k, v in model.items()}
@@ -322,13 +338,47 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
+def excerpts(data, offsets):
+    """For each row of a slice a list: its words joined, or, where they are too many, windows by a seeded hash over all of its windows."""
+    words = Words(data, offsets)
+    places, row = windows(words)
+    begins, at, hashes = places[:, 0], np.searchsorted(row, np.arange(len(words.first))), words.hashes()
+    out = []
+    for k, (first, last) in enumerate(zip(words.first[:-1], words.first[1:])):
+        mine = begins[at[k]:at[k + 1]]
+        if len(mine) <= TRAIN_WINDOWS and (words.end[first:last] - words.start[first:last]).sum() <= TRAIN_BYTES:
+            out.append([words.text(first, last)])
+            continue
+        seed = hashes[first:last].sum(keepdims=True) + np.uint64(SEED)
+        taken, room = [], TRAIN_BYTES
+        for begin in mine[np.argsort(mix(seed + np.arange(len(mine), dtype=np.uint64)), kind="stable")[:TRAIN_WINDOWS]]:
+            window = words.text(begin, min(begin + WINDOW, last))
+            room -= len(window)
+            if taken and room < 0:
+                break
+            taken.append(window)
+        out.append(taken)
+    return out
+
+
 def training_rows(docs, labels):
-    """Texts and labels of the bounded sample, those first by a hash of their id; never of held-out rows."""
+    """Texts (see `train`) and labels of the bounded sample, those first by a hash of their id; never of held-out rows."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     parts = [labels.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    rows = shared.documents(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id").filter(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    rows = rows.limit(2 * (MAX_TOXIC + MAX_CLEAN)).select("doc_id", F.col("text").cast("binary").alias("text"), "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    return rows["text"].to_pylist(), rows["toxic"].to_pylist()
+    drawn = parts[0].union(parts[1])
+
+    @F.arrow_udf("array<binary>")
+    def excerpts_of(texts: pa.Array) -> pa.Array:
+        data, offsets = raw(texts)
+        rows = [row for a, b in slices(offsets) for row in excerpts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])]
+        return pa.array(rows, pa.list_(pa.binary()))
+    rows = shared.documents(docs).join(F.broadcast(drawn), "doc_id").filter("text is not null")
+    rows = rows.limit(2 * (MAX_TOXIC + MAX_CLEAN)).select("doc_id", excerpts_of.asNondeterministic()(F.col("text").cast("binary")).alias("windows"), "toxic")
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    toxic = rows["toxic"].to_pylist()
+    if len(set(toxic)) < 2 and drawn.select("toxic").distinct().count() == 2:
+        warnings.warn(f"labels of both kinds were drawn, but only {len(toxic)} documents of one kind are there to train on: all scores are 0", stacklevel=2)
+    return [windows[0] if len(windows) == 1 else windows for windows in rows["windows"].to_pylist()], toxic
 
 
 def scored(docs, model):

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -109,3 +110,41 @@ def test_training_rows_leave_out_held_out_rows(spark):
     got, kinds = t.training_rows(docs, labels)
     want = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
     assert got == [f"text {k}".encode() for k in want] and kinds == [k % 2 for k in want]
+
+
+def test_texts_of_every_length_teach(spark):
+    rng = random.Random(5)
+    syllables = ["ba", "re", "ti", "on", "the", "ing", "el"]
+    rows = []
+    for k in range(80):
+        w = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(4_000)]
+        if k % 2:
+            w[50::100] = ["grumf"] * 40
+        rows.append((k, " ".join(w)))
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)], "doc_id long, quality int, toxic int")
+    got, kinds = t.training_rows(documents(spark, rows), labels)
+    texts = {k: text.split() for k, text in rows}
+    taught = [k for k in range(80) if zlib.crc32(str(k).encode()) % 5]
+    assert kinds == [k % 2 for k in taught]
+    for k, windows in zip(taught, got):  # so many whole windows, from the first to the last part of the text
+        assert len(windows) == len(set(windows)) == t.TRAIN_WINDOWS
+        places = [min(at for at in range(len(texts[k])) if texts[k][at:at + t.WINDOW] == w.decode().split()) for w in windows[:20]]
+        assert min(places) < 2_000 < max(places)
+    assert got == t.training_rows(documents(spark, rows[::-1]), labels)[0]
+    model = t.train(got, kinds)
+    held = [(k, text) for k, text in rows if k not in taught]
+    assert [int(s >= 0.5) for s in score(model, [text.encode() for _, text in held])] == [k % 2 for k, _ in held]
+
+
+def test_windows_of_long_words_are_bounded():
+    text = b" ".join(b"%03d" % k + b"x" * 997 for k in range(400))
+    (windows,) = t.excerpts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert windows and sum(map(len, windows)) <= t.TRAIN_BYTES and all(w in text for w in windows)
+    (windows,) = t.excerpts(np.frombuffer(text.replace(b" ", b""), np.uint8), np.array([0, len(text) - 399]))
+    assert windows == [text.replace(b" ", b"")]  # never none
+
+
+def test_labels_of_one_kind_without_documents_are_told(spark):
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="both kinds"):
+        assert t.train(*t.training_rows(documents(spark, [(k, "text") for k in range(0, 60, 2)]), labels)) is None
