@@ -4,7 +4,8 @@ A token's input is two vectors: the embedding of its word, and the element-wise
 of its character 4-grams (with marks for start and end), so unseen forms of a known stem are
 recognized. Both tables have a fixed number of hashed rows. Two gated recurrent layers read each window
 from both sides, attention pools their states, a linear unit gives the logit. A text's score is
-that of its highest window; windows overlap, so short phrases are whole in one of them.
+that of its highest window. Windows begin every `STEP` words and with the last words, so each phrase of up to
+WINDOW - STEP + 1 = 21 words is whole in one of them; not every window of `WINDOW` words is read.
 
 The network is trained here with numpy, on a bounded sample of labelled rows (`MAX_TOXIC`, `MAX_CLEAN`) of
 any length: a text counts by its highest window (multiple-instance learning). The sampled texts are cut into
@@ -28,7 +29,9 @@ from groundwork.llm import shared
 from groundwork.llm.words import Words, mix, raw, slices
 
 WINDOW = 24
-STEP = 20
+STEP = 4
+#: Windows whose words are looked up at a time.
+BLOCK = 1 << 17
 HIDDEN = 8
 EMBED = 8
 BUCKETS = 1 << 15
@@ -89,15 +92,25 @@ class Joined:
         return self._hashes
 
 
-def windows(words):
-    """(places, row): word numbers of each window (-1: none), and the row it is of; every word is in a window."""
+def spans(words):
+    """(begin, row): number of each window's first word among those of all rows, and the row it is of."""
     counts = np.diff(words.first)
     many = np.where(counts <= WINDOW, (counts > 0).astype(np.int64), -(-(counts - WINDOW) // STEP) + 1)
     row = np.repeat(np.arange(len(counts)), many)
     number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    begin = np.minimum(number * STEP, np.maximum(counts[row] - WINDOW, 0))  # the last window ends with the text
-    inner = begin[:, None] + np.arange(WINDOW)[None, :]
-    return np.where(inner < counts[row][:, None], words.first[:-1][row][:, None] + inner, -1), row
+    return words.first[:-1][row] + np.minimum(number * STEP, np.maximum(counts[row] - WINDOW, 0)), row  # the last window ends with the text
+
+
+def places_of(words, begin, row):
+    """Word numbers of each window (-1: none)."""
+    places = begin[:, None] + np.arange(WINDOW)[None, :]
+    return np.where(places < words.first[1:][row][:, None], places, -1)
+
+
+def windows(words):
+    """(places, row): word numbers of each window (-1: none), and the row it is of; every word is in a window."""
+    begin, row = spans(words)
+    return places_of(words, begin, row), row
 
 
 def new_model(rng):
@@ -325,10 +338,13 @@ def scores(model, data, offsets):
     out = np.full(len(words.first) - 1, model["empty"][0], np.float64)
     if len(words.start):
         vocabulary = Vocabulary(words)
-        places, row = windows(words)
-        mask = places >= 0
-        ids = np.where(mask, vocabulary.of[places], len(vocabulary.word))
-        logit = logits(model, all_inputs(model, vocabulary), ids, mask)
+        begins, row = spans(words)
+        x, parts = all_inputs(model, vocabulary), []
+        for low in range(0, len(begins), BLOCK):
+            places = places_of(words, begins[low:low + BLOCK], row[low:low + BLOCK])
+            mask = places >= 0
+            parts.append(logits(model, x, np.where(mask, vocabulary.of[places], len(vocabulary.word)), mask))
+        logit = np.concatenate(parts)
         begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         out[row[begin]] = sigmoid(np.maximum.reduceat(logit, begin).astype(np.float64))
     return out
@@ -341,8 +357,8 @@ def held_out(doc_id):
 def excerpts(data, offsets):
     """For each row of a slice a list: its words joined, or, where they are too many, windows by a seeded hash over all of its windows."""
     words = Words(data, offsets)
-    places, row = windows(words)
-    begins, at, hashes = places[:, 0], np.searchsorted(row, np.arange(len(words.first))), words.hashes()
+    begins, row = spans(words)
+    at, hashes = np.searchsorted(row, np.arange(len(words.first))), words.hashes()
     out = []
     for k, (first, last) in enumerate(zip(words.first[:-1], words.first[1:])):
         mine = begins[at[k]:at[k + 1]]

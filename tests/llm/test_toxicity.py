@@ -55,6 +55,20 @@ def test_every_word_is_in_a_window():
         assert (np.diff(starts) <= t.STEP).all()
 
 
+def test_phrases_of_21_words_are_whole_in_a_window():
+    for n in (21, 24, 25, 26, 27, 28, 29, 47, 48, 49, 500):
+        words = Words(np.frombuffer(b"ab " * n, np.uint8), [0, 3 * n])
+        held = {tuple(p[p >= 0]) for p in t.windows(words)[0]}
+        assert all(any(set(range(at, at + 21)) <= set(w) for w in held) for at in range(n - 20))
+
+
+def test_scores_do_not_depend_on_blocks(model, monkeypatch):
+    rows = [r[0] for r in texts(40, 6)]
+    want = score(model, rows)
+    monkeypatch.setattr(t, "BLOCK", 7)
+    assert np.allclose(score(model, rows), want, atol=1e-5)
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(0)
     model = {k: v.astype(np.float64) for k, v in t.new_model(rng).items()}
