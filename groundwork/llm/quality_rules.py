@@ -11,7 +11,7 @@ of their id. All other numbers are of the row itself, so nothing depends on the
 
 Null and empty texts have no words, fail the base rules and are not kept. Labels without quality
 or without a document teach nothing; without labels of both kinds no rule is learned. Repeated
-rows are judged alike. Columns named like a result replace those of the input.
+rows are judged alike; in training an id counts once, with its least label and counts. Columns named like a result replace those of the input.
 """
 
 from collections import Counter
@@ -93,9 +93,10 @@ def _feature(name):
 def training_rows(docs, labels, max_rows=MAX_TRAIN):
     """Features and quality of the sampled labelled rows, on the driver; bounded by `max_rows`."""
     labels = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    rows = counted(shared.documents(docs).join(F.broadcast(sample), "doc_id"))  # at most max_rows short rows
-    rows = rows.limit(2 * max_rows).select("quality", *[_feature(name).alias(name) for name in FEATURES]).toPandas()
+    sample = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = counted(shared.documents(docs).join(F.broadcast(sample), "doc_id"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("__counts").alias("__counts"))  # map-side first; at most max_rows short rows
+    rows = rows.select("quality", *[_feature(name).alias(name) for name in FEATURES]).toPandas()
     return rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0
 
 

@@ -15,7 +15,8 @@ at least one. Every whole text is scored, in Arrow batches; the model is broadca
 the numbers below.
 
 Null, empty and wordless texts get the score of the share of toxic rows in training. Without training
-rows of both kinds all scores are 0, with a warning where the labels drawn hold both kinds but no documents of one. Repeated rows score alike. Further columns are kept by `scored`, but
+rows of both kinds all scores are 0, with a warning where the labels drawn hold both kinds but no documents of one. Repeated rows score alike; in training
+an id counts once, with its least label and text. Further columns are kept by `scored`, but
 `score` and `predicted` of the input are replaced.
 """
 
@@ -380,6 +381,7 @@ def excerpts(data, offsets):
 def training_rows(docs, labels):
     """Texts (see `train`) and labels of the bounded sample, those first by a hash of their id; never of held-out rows."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
+    labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     parts = [labels.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     drawn = parts[0].union(parts[1])
 
@@ -389,7 +391,8 @@ def training_rows(docs, labels):
         rows = [row for a, b in slices(offsets) for row in excerpts(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])]
         return pa.array(rows, pa.list_(pa.binary()))
     rows = shared.documents(docs).join(F.broadcast(drawn), "doc_id").filter("text is not null")
-    rows = rows.limit(2 * (MAX_TOXIC + MAX_CLEAN)).select("doc_id", excerpts_of.asNondeterministic()(F.col("text").cast("binary")).alias("windows"), "toxic")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # map-side first: a row an id leaves a task
+    rows = rows.select("doc_id", excerpts_of.asNondeterministic()(F.col("text").cast("binary")).alias("windows"), "toxic")
     rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic = rows["toxic"].to_pylist()
     if len(set(toxic)) < 2 and drawn.select("toxic").distinct().count() == 2:

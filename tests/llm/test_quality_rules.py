@@ -77,3 +77,10 @@ def test_kept_keeps_all_columns(spark):
     kept = q.kept(docs, [])
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 5, 6]
+
+
+def test_a_hot_id_does_not_crowd_the_sample(spark):
+    docs = documents(spark, [(1, "one two")] * 200 + [(k, "word " * k) for k in range(2, 22)]).repartition(4)
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0)] * 50 + [(k, k % 2, 0) for k in range(2, 22)], "doc_id long, quality int, toxic int")
+    x, bad = q.training_rows(docs, labels, max_rows=30)
+    assert len(x) == len(bad) == 21 and bad.sum() == 11

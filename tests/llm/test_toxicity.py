@@ -162,3 +162,14 @@ def test_labels_of_one_kind_without_documents_are_told(spark):
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
     with pytest.warns(UserWarning, match="both kinds"):
         assert t.train(*t.training_rows(documents(spark, [(k, "text") for k in range(0, 60, 2)]), labels)) is None
+
+
+def test_a_hot_id_does_not_crowd_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(t, "MAX_TOXIC", 20)
+    monkeypatch.setattr(t, "MAX_CLEAN", 20)
+    docs = documents(spark, [(1, f"copy {k % 3}") for k in range(200)] + [(k, f"text {k}") for k in range(2, 30)]).repartition(4)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1)] * 50 + [(k, 1, k % 2) for k in range(2, 30)], "doc_id long, quality int, toxic int")
+    want = [k for k in range(1, 30) if zlib.crc32(str(k).encode()) % 5]
+    assert want[0] == 1
+    got, kinds = t.training_rows(docs, labels)
+    assert got == [b"copy 0"] + [f"text {k}".encode() for k in want[1:]] and kinds == [0] + [k % 2 for k in want[1:]]
