@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "url_filter", "decontaminate", "suffix_dedup", "license_scan", "toxicity", "jaccard_join", "mixing", "warc", "chat_format")
+MODULES = ("quality_rules", "url_filter", "decontaminate", "suffix_dedup", "license_scan", "toxicity", "jaccard_join", "mixing", "warc", "chat_format",
+           "line_dedup", "centroid_clustering", "spelling_variants")
 
 _LOADED = [import_module(f"groundwork.llm.{name}") for name in MODULES]
 QUERIES = {name: run for module in _LOADED for name, run in module.QUERIES.items()}
