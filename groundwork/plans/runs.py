@@ -1,4 +1,4 @@
-"""Queries about passes and saved runs. A customer is a run; its orders are the claims."""
+"""Queries about passes and saved runs. A customer is a run; its orders are the claims. A supplier is a run without claims."""
 
 from pyspark.sql import functions as F
 
@@ -16,10 +16,10 @@ QUERIES, ORACLES, query = registry()
 RESULT_SQL = """
 r AS (SELECT o_orderkey AS k, o_custkey AS run_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS s, o_orderpriority AS p,
   CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'snapshot' WHEN o_orderpriority = '2-HIGH' THEN 'bull' WHEN o_orderpriority = '3-MEDIUM' THEN 'bear' ELSE 'open_questions' END AS section,
-  CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS stage_no FROM orders WHERE o_custkey % 10 <> 0),
-runs AS (SELECT DISTINCT o_custkey AS run_id FROM orders),
+  CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS stage_no FROM orders),
+runs AS (SELECT DISTINCT o_custkey AS run_id FROM orders UNION ALL SELECT -1 - s_suppkey FROM supplier),
 st AS (SELECT DISTINCT run_id, CASE stage_no WHEN 1 THEN 'draft' ELSE 'repair' END AS stage, stage_no, stage_no = 1 OR run_id % 3 <> 0 AS succeeded, false AS shape FROM r
-  UNION ALL SELECT run_id, CASE WHEN run_id % 20 = 0 THEN 'format_repair' ELSE 'draft' END, 1, run_id % 40 <> 10, run_id % 20 <> 0 FROM runs WHERE run_id % 10 = 0),
+  UNION ALL SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'format_repair' ELSE 'draft' END, 1, run_id % 4 <> -1, run_id % 2 <> 0 FROM runs WHERE run_id < 0),
 q AS (SELECT *, cents % 5 = 0 AS bad_cite, cents % 7 = 0 AS bad_number, cents % 11 = 0 AS bad_kind FROM r),
 w AS (SELECT *, NOT bad_cite AND NOT bad_number AND NOT bad_kind AS accepted FROM q),
 last AS (SELECT run_id, max(stage_no) AS stage_no FROM st WHERE succeeded GROUP BY run_id),
@@ -28,13 +28,17 @@ fr AS (SELECT w.* FROM w JOIN last USING (run_id, stage_no))
 
 
 def all_runs(spark, sf):
-    """Every run; one in ten has no claim."""
-    return read(spark, sf, "orders").select(F.col("o_custkey").alias("run_id")).distinct()
+    """Every run: those of customers with orders, and those of suppliers, which have no claim."""
+    return read(spark, sf, "orders").select(F.col("o_custkey").alias("run_id")).distinct().unionByName(claimless_runs(spark, sf))
+
+
+def claimless_runs(spark, sf):
+    return read(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("run_id"))
 
 
 def results(spark, sf):
     """Checked claims: partly shipped orders are a repair, the others the draft."""
-    o = read(spark, sf, "orders").filter("o_custkey % 10 <> 0")
+    o = read(spark, sf, "orders")
     p = F.col("o_orderpriority")
     section = (F.when(p.isin("1-URGENT", "5-LOW"), "snapshot").when(p == "2-HIGH", "bull").when(p == "3-MEDIUM", "bear")
                .otherwise("open_questions"))
@@ -59,13 +63,13 @@ def stages(rows):
 def all_stages(spark, sf, rows):
     """Stages of all runs: a run without claims had an empty format repair, or an output of the wrong shape."""
     run = F.col("run_id")
-    empty = all_runs(spark, sf).filter(run % 10 == 0).select(
-        "run_id", F.when(run % 20 == 0, "format_repair").otherwise("draft").alias("stage"), F.lit(1).alias("stage_no"), (run % 40 != 10).alias("succeeded"))
+    empty = claimless_runs(spark, sf).select(
+        "run_id", F.when(run % 2 == 0, "format_repair").otherwise("draft").alias("stage"), F.lit(1).alias("stage_no"), (run % 4 != -1).alias("succeeded"))
     return stages(rows).unionByName(empty)
 
 
 def shape_faults(spark, sf):
-    return all_runs(spark, sf).filter("run_id % 20 = 10").select(
+    return claimless_runs(spark, sf).filter("run_id % 2 <> 0").select(
         "run_id", F.lit("draft").alias("stage"), F.lit(1).alias("stage_no"), F.lit("Output must contain exactly the four section arrays.").alias("error"))
 
 
@@ -102,7 +106,7 @@ m AS (SELECT run_id, count(*) FILTER (WHERE section = 'snapshot' AND accepted) A
   count(*) FILTER (WHERE section = 'bear' AND accepted) AS c, count(*) FILTER (WHERE section = 'open_questions' AND accepted) AS d,
   count(*) FILTER (WHERE NOT accepted) AS dropped FROM fr GROUP BY run_id),
 u AS (SELECT run_id, bool_or(cents % 101 = 0) AS lost, sum(cents % 100) AS words FROM r GROUP BY run_id),
-x AS (SELECT run_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(dropped, 0) AS dropped, coalesce(lost, run_id % 30 = 0) AS lost, words
+x AS (SELECT run_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(d, 0) AS d, coalesce(dropped, 0) AS dropped, coalesce(lost, run_id % 3 = 0) AS lost, words
   FROM runs LEFT JOIN m USING (run_id) LEFT JOIN u USING (run_id))
 SELECT run_id, CASE WHEN lost THEN 'verification_unavailable' WHEN least(a, b, c, d) = 0 OR a NOT IN (3, 4) THEN 'incomplete' WHEN dropped > 0 THEN 'completed_with_drops' ELSE 'completed' END AS status,
   CAST(words AS BIGINT) AS word_count, concat_ws(' | ', CASE WHEN a = 0 THEN 'No accepted claims in required section: snapshot' END, CASE WHEN b = 0 THEN 'No accepted claims in required section: bull' END,
@@ -113,7 +117,7 @@ def run_status(spark, sf):
     """Status and warnings of every run."""
     rows = results(spark, sf)
     lost = rows.select("run_id", (F.col("cents") % 101 == 0).alias("unavailable")).unionByName(
-        all_runs(spark, sf).filter("run_id % 30 = 0").select("run_id", F.lit(True).alias("unavailable")))  # screening outages
+        claimless_runs(spark, sf).filter("run_id % 3 = 0").select("run_id", F.lit(True).alias("unavailable")))  # screening outages
     words = rows.groupBy("run_id").agg(F.sum(F.col("cents") % 100).alias("word_count"))
     out = passes.run_status(all_runs(spark, sf), passes.final_results(rows, stages(rows)), lost, words)
     return out.withColumn("warnings", joined("warnings"))
