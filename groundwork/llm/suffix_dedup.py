@@ -7,13 +7,18 @@ the corpus is out of reach (see README), so suffixes are sampled, sorted and mer
    residues of a difference cover, the sample has for any two equal windows a place at the same
    offset in both, but it takes one of about 180 places instead of two of three.
 2. Names. A sampled place and the windows it was chosen by are one segment; segments are named by
-   their bytes and counted. A name that occurs twice repeats in whole; a place whose gram occurs once
-   has no repeat at all. What is left are places near an edge of a repeat.
-3. Sort. Those are sorted by what follows (up to `SPAN` bytes), and by what precedes, and adjacent
-   rows are compared. The longest match to each side bounds the windows that can repeat; windows
-   inside a match with a neighbour do repeat.
-4. Merge. Windows that stay undecided are the remaining suffixes: each is its offset from the sampled
-   place and its bytes, grouped with the same offsets of the other segments of that place's gram.
+   their bytes and counted. A place whose gram occurs once has no repeat at all and goes no further; a
+   name that occurs twice repeats in whole. What is left are places near an edge of a repeat.
+3. Bytes. Of each segment whose gram has such places, one place's bytes are read, through a join of the
+   places with the texts. That is the only move of texts besides the last join; no list is held anywhere.
+4. Sort and merge. The segments of a gram are sorted by what follows the sampled place. Neighbours with the
+   longest common start are merged first, small into large, and each segment is compared with the nearest
+   by what precedes the place: no other segment with as long a common start agrees further back. So the
+   matches found are all there are, at m log m comparisons for m segments.
+5. A gram whose segments fill more than `RANGE_BYTES` is sorted in ranges, once by what follows and once by
+   what precedes, and merged in each range. Windows that could match beyond the ends of both their ranges
+   and matched nothing inside are the remaining suffixes: each is its offset and a digest of its bytes, grouped
+   with the same offsets of that gram's segments, at most one row a window.
 
 Everything is judged on the texts as they come. Texts are keyed by a 128-bit hash: equal texts get equal cuts.
 Null is empty; texts shorter than SPAN lose bytes to nothing. Each row gives one row. Rows whose text
@@ -21,21 +26,19 @@ repeats count as further places. `cut` keeps all columns of its input.
 """
 
 import hashlib
+from bisect import bisect_left, insort
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundwork.llm import shared
-from groundwork.llm.decontaminate import bloom, may_hold
 from groundwork.llm.words import Powers, mix, raw
 
 SPAN = 400
 GRAM = 32
-#: Rows before a row in sorted order that it is compared with.
-NEIGHBOURS = 3
-#: Sorted segments are dealt in ranges of about so many bytes.
+#: Segments of a gram that one task may hold, and the size of the ranges of larger grams, in bytes.
 RANGE_BYTES = 16 << 20
 
 
@@ -74,41 +77,65 @@ def _texts(docs):
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
 
 
-def _segments(docs, span, gram, wanted=None):
-    """Segments of all texts. Without `wanted` where they are; with a filter of gram hashes, the bytes of those that pass it."""
+def _segments(docs, span, gram):
+    """Segments of all texts: gram, name, left (bytes before the sampled place), n windows, first byte, and the text's key."""
     texts = _texts(docs).filter(F.octet_length("text") >= span)
-    filled = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def segments_of(batches):
         for batch in batches:
             data, offsets = raw(batch.column("text"))
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            rows, held = [], 0
+            rows = []
             for row in range(len(offsets) - 1):
                 text = data[offsets[row]:offsets[row + 1]]
-                places = list(sample(text, span, gram))
-                if filled is not None:
-                    passed = may_hold(filled.value, np.array([p[0] for p in places], np.uint64))
-                    places = [p for p, ok in zip(places, passed) if ok]
                 whole = text.tobytes()
-                for value, place, first, last in places:
-                    body = whole[first:last + span]
-                    name = hashlib.blake2b(body, digest_size=16, key=(place - first).to_bytes(4, "little")).digest()
-                    value = int(value.astype(np.int64))
-                    rows.append((value, name, place - first, last - first + 1, body) if filled is not None else (value, name, place - first, last - first + 1, first, k1[row], k2[row]))
-                    held += len(body)
-                if held > 1 << 23:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-            yield batch_of(rows)
+                for value, place, first, last in sample(text, span, gram):
+                    name = hashlib.blake2b(whole[first:last + span], digest_size=16, key=(place - first).to_bytes(4, "little")).digest()
+                    rows.append((int(value.astype(np.int64)), name, place - first, last - first + 1, first, k1[row], k2[row]))
+                    if len(rows) > 1 << 16:
+                        yield _batch(rows, _PLACE)
+                        rows = []
+            yield _batch(rows, _PLACE)
+    return texts.mapInArrow(segments_of, _ddl(_PLACE))
+
+
+_PLACE = {"gram": pa.int64(), "name": pa.binary(), "left": pa.int32(), "n": pa.int32(), "first": pa.int32(), "k1": pa.int64(), "k2": pa.int64()}
+_BODY = {**{k: _PLACE[k] for k in ("gram", "name", "left", "n")}, "twice": pa.bool_(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int64(), "body": pa.binary()}
+_PIECE = {"k1": pa.int64(), "k2": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+
 
-    names = ["gram", "name", "left", "n", "body"] if filled is not None else ["gram", "name", "left", "n", "first", "k1", "k2"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), *([pa.binary()] if filled is not None else [pa.int64()] * 3)]
+def _ddl(kinds):
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in kinds.items())
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
-    sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-    return texts.mapInArrow(segments_of, ", ".join(f"{n} {sql[k]}" for n, k in zip(names, kinds)))
+
+def _batch(rows, kinds):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], list(kinds))
+
+
+def _bodies(docs, wanted, span):
+    """The bytes of the wanted segments (gram, name, left, n, twice, at), each read from the one place `at`."""
+    lists = wanted.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("gram", "name", "left", "n", "twice", F.col("at.first").alias("first"))).alias("places"))  # as many as the text has
+    rows = _texts(docs).join(shared.stage(lists), ["k1", "k2"])
+
+    def bodies_of(batches):
+        before = None
+        for batch in batches:
+            out, held = [], 0
+            for k1, k2, text, places in zip(*(batch.column(c) for c in ("k1", "k2", "text", "places"))):
+                key = k1.as_py(), k2.as_py()
+                if key == before:  # copies of a text lie side by side; what still comes twice is dropped by its name
+                    continue
+                before, text = key, text.as_py().encode()
+                for p in places.as_py():
+                    body = text[p["first"]:p["first"] + p["n"] - 1 + span]
+                    out.append((p["gram"], p["name"], p["left"], p["n"], p["twice"], *key, p["first"] + p["left"], body))
+                    held += len(body)
+                if held > 1 << 23:
+                    yield _batch(out, _BODY)
+                    out, held = [], 0
+            yield _batch(out, _BODY)
+    return rows.mapInArrow(bodies_of, _ddl(_BODY))
 
 
 def same_start(a, b):
@@ -119,62 +146,118 @@ def same_start(a, b):
     return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
 
-def _compared(bodies, span, backwards):
-    """Sorted segments with the longest match on the sorted side (`reach`) and the offsets at which a neighbour has the same window (`same`).
+class Segment:
+    """One segment: what follows the sampled place, what precedes it backwards, and the offsets of its windows."""
+
+    __slots__ = ("ahead", "behind", "low", "high", "same")
+
+    def __init__(self, body, left, n):
+        self.ahead, self.behind, self.low, self.high, self.same = body[left:], body[:left][::-1], left - n + 1, left, []
+
+    def meet(self, other, ahead, behind, span):
+        low, high = max(span - ahead, self.low, other.low), min(behind, self.high, other.high)
+        if low <= high:
+            self.same.append((low, high))
+            other.same.append((low, high))
+
+
+def merge_neighbours(segments, span, backwards=False):
+    """Give each of the segments, sorted by one side, the offsets at which another has the same window.
 
-    The first and last row of a range may have a neighbour in another range: their reach stays open.
+    Groups of neighbours are merged from the longest common side down. Members of the smaller group look up
+    their place among the other sides of the larger; whoever is nearest there agrees furthest.
+    """
+    def sides(s):
+        return (s.behind, s.ahead) if backwards else (s.ahead, s.behind)
+    reach = [same_start(sides(a)[0], sides(b)[0]) for a, b in zip(segments, segments[1:])]
+    group, members = list(range(len(segments))), {k: [(sides(s)[1], k)] for k, s in enumerate(segments)}
+
+    def find(k):
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+    for k in sorted(range(len(reach)), key=lambda k: -reach[k]):
+        small, large = sorted((find(k), find(k + 1)), key=lambda g: len(members[g]))
+        held = members[large]
+        for side, own in members[small]:
+            at = bisect_left(held, (side, own))
+            for other_side, other in held[max(0, at - 1):at + 1]:
+                common = same_start(side, other_side)
+                segments[own].meet(segments[other], *((common, reach[k]) if backwards else (reach[k], common)), span)
+        for entry in members.pop(small):
+            insort(held, entry)
+        group[small] = large
+
+
+def _whole_grams(bodies, ranges, span):
+    """(k1, k2, start, end) of the bytes of matching windows, for grams that one task can hold."""
+    rows = bodies.repartition(ranges, "gram").sortWithinPartitions("gram")
+
+    def found(batches):
+        fields = [f for f in _BODY if f != "gram"]
+        rows = ((r["gram"], [r[f] for f in fields]) for batch in batches for r in batch.to_pylist())
+        out = []
+        for _, held in groupby(rows, lambda r: r[0]):
+            unique = {row[0]: row for _, row in held}
+            made = sorted(((Segment(row[-1], row[1], row[2]), row) for row in unique.values()), key=lambda x: x[0].ahead)
+            merge_neighbours([segment for segment, _ in made], span)
+            for segment, (_, _, _, twice, k1, k2, place, _) in made:
+                if not twice:
+                    out += [(k1, k2, place - high, place - low + span) for low, high in _union(segment.same)]
+            if len(out) > 1 << 16:
+                yield _batch(out, _PIECE)
+                out = []
+        yield _batch(out, _PIECE)
+    return rows.mapInArrow(found, _ddl(_PIECE))
+
+
+def _union(offsets):
+    """Sorted intervals, those that overlap or touch as one."""
+    out = []
+    for low, high in sorted(offsets):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
+
+
+def _compared(bodies, span, ranges, backwards):
+    """Segments sorted by one side in ranges: the offsets at which one of the range has the same window (`same`), and how far that side agrees with an end of the range (`open`).
+
+    Rows beyond an end of a range agree no further than the row at that end does.
     """
     # Reversed half bytes sort differently from reversed bytes, but rows with longer common ends are still next to each other.
-    key = F.reverse(F.substring(F.hex("body"), F.lit(1), F.col("left") * 2)) if backwards else F.expr("substring(body, left + 1)")
-    rows = bodies.withColumn("side", key)
-    total = rows.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"]
-    rows = rows.repartitionByRange(max(1, -(-total // RANGE_BYTES)), "gram", "side").sortWithinPartitions("gram", "side")
+    sides = [F.expr("substring(body, left + 1)"), F.reverse(F.substring(F.hex("body"), F.lit(1), F.col("left") * 2))]
+    rows = bodies.withColumn("side", sides[backwards]).withColumn("other", sides[not backwards])
+    rows = rows.repartitionByRange(ranges, "gram", "side", "other").sortWithinPartitions("gram", "side", "other")
 
     def compared(batches):
-        near, out = [], []  # near: the last rows of this gram
-        edge = True
-
-        def done(row):
-            out.append((row["gram"], row["name"], row["reach"], row["same"]))
-
-        for batch in batches:
-            for gram, name, left, n, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "name", "left", "n", "body"))):
-                if near and near[-1]["gram"] != gram:
-                    for row in near:
-                        done(row)
-                    near = []
-                row = {"gram": gram, "name": name, "left": left, "low": left - n + 1, "ahead": body[left:], "behind": body[:left][::-1], "reach": 0, "same": []}
-                if edge:
-                    row["reach"], edge = span, False
-                for k, other in enumerate(reversed(near)):
-                    ahead, behind = same_start(row["ahead"], other["ahead"]), same_start(row["behind"], other["behind"])
-                    if not k:
-                        reach = behind if backwards else ahead
-                        row["reach"], other["reach"] = max(row["reach"], reach), max(other["reach"], reach)
-                    low, high = max(span - ahead, row["low"], other["low"]), min(behind, row["left"], other["left"])
-                    if low <= high:
-                        row["same"].append({"low": low, "high": high})
-                        other["same"].append({"low": low, "high": high})
-                near.append(row)
-                if len(near) > NEIGHBOURS:
-                    done(near.pop(0))
-            yield batch_of(out)
-            out.clear()
-        if near:
-            near[-1]["reach"] = span
-        for row in near:
-            done(row)
-        yield batch_of(out)
+        rows = ((r["gram"], r) for batch in batches for r in batch.to_pylist())
+        grams = ((gram, [r for _, r in held]) for gram, held in groupby(rows, lambda r: r[0]))
+        first, at = True, next(grams, None)
+        while at is not None:
+            following = next(grams, None)
+            gram, held = at
+            made = [Segment(r["body"], r["left"], r["n"]) for r in held]
+            merge_neighbours(made, span, backwards)
+            ends = [made[0]] * first + [made[-1]] * (following is None)
+            out = []
+            for r, s in zip(held, made):
+                reach = [same_start(s.behind, e.behind) if backwards else same_start(s.ahead, e.ahead) for e in ends]
+                out.append((gram, r["name"], max(reach, default=0) if ends else -1, [{"low": low, "high": high} for low, high in _union(s.same)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), same))], ["gram", "name", "open", "same"])
+            first, at = False, following
 
     same = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.binary(), pa.int32(), same))], ["gram", "name", "reach", "same"])
-    return rows.select("gram", "name", "left", "n", "body").mapInArrow(compared, "gram long, name binary, reach int, same array<struct<low: int, high: int>>")
+    return rows.select("gram", "name", "left", "n", "body").mapInArrow(compared, "gram long, name binary, open int, same array<struct<low: int, high: int>>")
 
 
 def _remaining(rows, span):
     """(digest of window and offset, gram, name, offset) of the asked offsets that a segment can repeat at."""
+    kinds = {"window": pa.binary(), "gram": pa.int64(), "name": pa.binary(), "offset": pa.int32(), "times": pa.int32()}
+
     def windows_of(batches):
         for batch in batches:
             out = []
@@ -183,45 +266,54 @@ def _remaining(rows, span):
                     window = body[left - offset:left - offset + span]
                     digest = hashlib.blake2b(window, digest_size=16, key=offset.to_bytes(4, "little")).digest()
                     out.append((digest, gram, name, offset, 2 if twice else 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))],
-                                             ["window", "gram", "name", "offset", "times"])
-    return rows.select("gram", "name", "left", "twice", "body", "offsets").mapInArrow(windows_of, "window binary, gram long, name binary, offset int, times int")
+            yield _batch(out, kinds)
+    return rows.select("gram", "name", "left", "twice", "body", "offsets").mapInArrow(windows_of, _ddl(kinds))
 
 
-def repeated(docs, span=SPAN, gram=GRAM):
-    """(k1, k2, runs): the maximal runs (start, end) of bytes that repeated strings cover, for texts that have any."""
-    places = shared.stage(_segments(docs, span, gram))
-    named = places.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first", "left", "n")).alias("at"))
-    of_gram = Window.partitionBy("gram")
-    named = shared.stage(named.withColumn("total", F.sum("c").over(of_gram)).withColumn("least", F.min("c").over(of_gram)).filter("total > 1"))
-    full = places.join(named.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("k1", "k2", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + span).alias("end"))
-
-    # Grams with a segment that occurs once only are sorted; the filter keeps their bytes from all texts without moving the texts.
-    open_grams = named.filter("least = 1")
-    prints = open_grams.select(F.col("gram").alias("fingerprint")).distinct()
-    wanted = bloom(prints, prints.count())
-    bodies = _segments(docs, span, gram, wanted).groupBy("gram", "name").agg(F.first("left").alias("left"), F.first("n").alias("n"), F.first("body").alias("body"))
-    bodies = shared.stage(bodies.join(open_grams.select("gram", "name", (F.col("c") > 1).alias("twice")), ["gram", "name"]))
-    ahead = _compared(bodies, span, False).select("gram", "name", F.col("reach").alias("ahead"), F.col("same").alias("same1"))
-    behind = _compared(bodies, span, True).select("gram", "name", F.col("reach").alias("behind"), F.col("same").alias("same2"))
-    known = bodies.select("gram", "name", "left", "n", "twice").join(ahead, ["gram", "name"]).join(behind, ["gram", "name"])
+def _large_grams(bodies, span, ranges):
+    """(k1, k2, start, end) of the bytes of matching windows, for grams too large for one task."""
+    bodies = shared.stage(bodies.groupBy("gram", "name").agg(*[F.first(c).alias(c) for c in _BODY if c not in ("gram", "name")]))
+    ahead = _compared(bodies, span, ranges, False).select("gram", "name", F.col("open").alias("ahead"), F.col("same").alias("same1"))
+    behind = _compared(bodies, span, ranges, True).select("gram", "name", F.col("open").alias("behind"), F.col("same").alias("same2"))
+    known = bodies.drop("body").join(ahead, ["gram", "name"]).join(behind, ["gram", "name"])
     low = F.greatest(F.lit(span) - F.col("ahead"), F.col("left") - F.col("n") + 1)
-    known = known.select("gram", "name", "twice", low.alias("low"), F.least("behind", "left").alias("high"), F.concat("same1", "same2").alias("same"))
+    known = known.select("gram", "name", "twice", "k1", "k2", "place", low.alias("low"), F.least("behind", "left").alias("high"), F.concat("same1", "same2").alias("same"))
     possible = F.when(F.col("low") <= F.col("high"), F.sequence("low", "high")).otherwise(F.array().cast("array<int>"))
     undecided = F.when(F.col("twice"), F.array().cast("array<int>")).otherwise(F.filter(possible, lambda o: ~F.exists("same", lambda s: o.between(s.low, s.high))))
     known = shared.stage(known.withColumn("undecided", undecided))
 
-    asked = known.select("gram", F.explode("undecided").alias("offset")).distinct().groupBy("gram").agg(F.collect_set("offset").alias("asked"))  # span offsets at most
+    asked = shared.stage(known.select("gram", F.explode("undecided").alias("offset")).distinct().groupBy("gram").agg(F.collect_set("offset").alias("asked")))  # span offsets at most
     partners = known.select("gram", "name", "low", "high").join(asked, "gram").withColumn("offsets", F.filter("asked", lambda o: o.between(F.col("low"), F.col("high"))))
     partners = partners.filter(F.size("offsets") > 0).select("gram", "name", "offsets").join(bodies, ["gram", "name"])
     windows = shared.stage(_remaining(partners, span))
     twice = windows.groupBy("window").agg(F.sum("times").alias("n")).filter("n > 1").select("window")
     merged = windows.join(twice, "window").select("gram", "name", F.col("offset").alias("low"), F.col("offset").alias("high"))
-    matched = known.filter("not twice").select("gram", "name", F.explode("same").alias("s")).select("gram", "name", "s.low", "s.high")
-    parts = matched.union(merged).join(named.filter("c = 1").select("gram", "name", "at"), ["gram", "name"])
-    place = F.col("at.first") + F.col("at.left")
-    parts = parts.select("at.k1", "at.k2", (place - F.col("high")).alias("start"), (place - F.col("low") + span).alias("end"))
-    return full.union(parts).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")).select("k1", "k2", _joined("pieces").alias("runs"))
+    merged = merged.join(known.filter("not twice").select("gram", "name", "k1", "k2", "place"), ["gram", "name"]).select("k1", "k2", "place", "low", "high")
+    matched = known.filter("not twice").select("k1", "k2", "place", F.explode("same").alias("s")).select("k1", "k2", "place", "s.low", "s.high")
+    return matched.union(merged).select("k1", "k2", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + span).alias("end"))
+
+
+def repeated(docs, span=SPAN, gram=GRAM):
+    """(k1, k2, runs): the maximal runs (start, end) of bytes that repeated strings cover, for texts that have any."""
+    places = shared.stage(_segments(docs, span, gram))
+    again = shared.stage(places.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("gram"))
+    places = shared.stage(places.join(again, "gram"))
+    at = F.min(F.struct("k1", "k2", "first")).alias("at")
+    named = shared.stage(places.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left"), F.first("n").alias("n"), at))
+    full = places.join(named.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("k1", "k2", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") - 1 + span).cast("long").alias("end"))
+
+    # Grams with a segment that occurs once only and another segment are compared byte by byte.
+    sizes = named.groupBy("gram").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("m"), F.sum(F.col("n") - 1 + span).alias("size")).filter("least = 1 and m > 1")
+    sizes = shared.stage(sizes.select("gram", "size", (F.col("size") > RANGE_BYTES).alias("large")))
+    total = {row["large"]: -(-row["n"] // RANGE_BYTES) for row in sizes.groupBy("large").agg(F.sum("size").alias("n")).collect()}
+    wanted = named.join(sizes.select("gram", "large"), "gram").withColumn("twice", F.col("c") > 1)
+    parts = [full]
+    for large, ranges in sorted(total.items()):
+        bodies = _bodies(docs, wanted.filter(F.col("large") == large), span)
+        parts.append(_large_grams(bodies, span, ranges) if large else _whole_grams(bodies, ranges, span))
+    for part in parts[1:]:
+        full = full.union(part)
+    return full.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")).select("k1", "k2", _joined("pieces").alias("runs"))
 
 
 def _joined(pieces):

@@ -50,13 +50,30 @@ def test_against_brute_force(spark, seed):
     assert got == plain(docs, 24)
 
 
-def test_order_of_ranges_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(s, "RANGE_BYTES", 300)  # many ranges, so many rows at their ends
-    docs = corpus(3, 24)
+@pytest.mark.parametrize("seed,size", [(3, 300), (1, 60), (0, 1), (2, 900)])
+def test_grams_too_large_for_a_task(spark, monkeypatch, seed, size):
+    monkeypatch.setattr(s, "RANGE_BYTES", size)  # many ranges, so many rows at their ends
+    docs = corpus(seed, 24)
     got = rows_of(s.digests(documents(spark, docs), 24, 5), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == plain(docs, 24)
 
 
+def test_many_near_copies_of_one_text(spark, monkeypatch):
+    """A hot gram: each copy has edits of its own, so its segments differ and match in part."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdef ") for _ in range(260))
+    docs = []
+    for k in range(300):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        docs.append((k, "".join(text)))
+    want = plain(docs, 60)
+    for size in (s.RANGE_BYTES, 4000):
+        monkeypatch.setattr(s, "RANGE_BYTES", size)
+        assert rows_of(s.digests(documents(spark, docs), 60, 8), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_sample_has_a_place_for_every_window():
     data = np.frombuffer(b"abracadabra" * 40 + bytes(range(256)) + b"z" * 90, np.uint8)
     parts = list(s.sample(data, 40, 8))
