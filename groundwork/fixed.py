@@ -117,7 +117,24 @@ SCORE_LEVELS = 3
 
 # --- topics ------------------------------------------------------------------
 #: Why a document is outside the topic check, and how a notice says it.
-OUTSIDE = {"not_admitted": "not admitted", "not_primary": "not primary", "unknown_age": "of unknown age", "future": "dated after the as-of date", "older": "older"}
+OUTSIDE = ("not_admitted", "not_primary", "future", "older", "unknown_age")
+COVERAGE_METHOD = "Deterministic topic keywords with separate amount, growth and forecast cues."
+COVERAGE_NOTES = {
+    "partial": ("Figures to review in uncited passages: ",
+                ". These numeric tokens did not match accepted claim text; compare their meaning and units."),
+    "mentioned": "Wording matched in source text and the brief. Review whether figures, periods and scope align.",
+    "review_needed": "Source wording matched, but no keyword match was found in accepted claim text. Review these passages; leaving them out may be justified.",
+    "not_found": "No keyword match in eligible source text; this does not establish that the topic is absent.",
+    "not_found_mentioned": " Brief wording did match, so inspect its evidence separately.",
+}
+COVERAGE_NOTICE = (
+    "Checked %s admitted primary source(s) aged 0 to 365 days. "
+    "These keyword cues suggest review topics, not completeness, factual accuracy or materiality. "
+    "Citations alone do not count as mentions. Paraphrases and mixed statements may be missed. "
+    "Figure matching compares numeric tokens across all claims, without aligning metrics, signs, units or scale. "
+    "Older unresolved issues can still matter and need separate review.")
+COVERAGE_OUTSIDE = " Sources outside this check: %s."
+COVERAGE_NO_SOURCES = "Coverage cannot be scanned because original source passages are unavailable. "
 TOPICS = (
     ("revenue_level", "Revenue level"),
     ("revenue_growth", "Revenue growth"),

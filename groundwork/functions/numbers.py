@@ -2,23 +2,35 @@
 
 Everything here works inside one row: a text gives an array of values, and a
 claim is compared with its evidence array to array. No text is shuffled or
-exploded to be read.
+exploded to be read. Patterns run in the JVM and mark each number with its parts in
+one pass; the marks are read, and values compared, in Arrow batches, since array
+functions would be interpreted element by element.
 """
 
+import datetime
+import re
 import unicodedata
+from functools import lru_cache
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwork import fixed
-from groundwork.functions.bind import empty, let
-from groundwork.functions.text import lines, plain_minus
+from groundwork.functions.text import plain_minus
 
 # Private characters used as marks. They are first taken out of the text itself.
 _CRORE, _LAKH, _FOUND, _FIELD, _REST, _OTHER = "\uf8f0", "\uf8f1", "\uf8f2", "\uf8f3", "\uf8f4", "\uf8f5"
 _MARKS = _CRORE + _LAKH + _FOUND + _FIELD + _REST
 
+_STRINGS = T.ArrayType(T.StringType())
+_DATES = T.ArrayType(T.StructType().add("raw", "string").add("value", "date"))
+_QUANTITIES = T.ArrayType(T.StructType().add("text", "string").add("dimension", "string").add("key", "string").add("exponent", "integer").add("prec", "integer").add("approx", "boolean"))
+
 _DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd")
 _ASCII = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+_TO_ASCII = str.maketrans(_DIGITS, _ASCII)
 
 # Groups: 1 downward word, 2 and 5 approximation, 3, 4, 6 and 7 currency, 8 number, 9 table
 # currency, 10 unit. The leading class turns most positions away before any look-behind.
@@ -40,118 +52,153 @@ def ascii_digits(text):
     return F.when(ascii_only, text).otherwise(F.translate(text, _DIGITS, _ASCII))
 
 
-def dates(text):
-    """Full dates in a text as an array of (raw, value); impossible dates have no value."""
-    found = F.regexp_extract_all(plain_minus(text), F.lit(fixed.FULL_DATE), F.lit(0))
-    return F.transform(found, lambda raw: F.struct(raw.alias("raw"), _date_value(raw).alias("value")))
+def raw_dates(text):
+    """Full dates as they are written."""
+    return F.regexp_extract_all(plain_minus(text), F.lit(fixed.FULL_DATE), F.lit(0))
 
 
-def _date_value(raw):
-    iso = F.when(raw.rlike(fixed.ISO_DATE) & ~raw.startswith("0000"), raw.try_cast("date"))
-    months = F.array(*[F.lit(m.lower()) for m in fixed.MONTH_ABBREVIATIONS])
+@lru_cache(1 << 16)
+def _day(raw):
+    """The day a written date names; None where there is no such day."""
+    parts = (raw.split("-") if "-" in raw else raw.replace(",", " ").replace(".", " ").split())
+    numbers = [p.translate(_TO_ASCII) for p in parts]
+    if "-" in raw:  # only a date in ASCII digits counts in this form
+        year, month, day = (int(p) if p.isascii() else 0 for p in parts)
+    else:
+        name, day = (parts[1], numbers[0]) if len(parts[0]) <= 2 else (parts[0], numbers[1])
+        year, month, day = int(numbers[2]), _MONTH_NUMBERS.get(name.casefold()[:3], 0), int(day)
+    try:
+        return datetime.date(year, month, day)
+    except ValueError:
+        return None
 
-    def written(parts):
-        day_first = F.length(parts[0]) <= 2
-        day, name = F.when(day_first, parts[0]).otherwise(parts[1]), F.when(day_first, parts[1]).otherwise(parts[0])
-        month = F.array_position(months, F.lower(F.substring(name, 1, 3))).cast("string")
-        return F.when(parts[2] != "0000", F.concat_ws(
-            "-", parts[2], F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date"))
 
-    return F.when(raw.contains("-"), iso).otherwise(
-        let(F.split(ascii_digits(F.translate(raw, ",.", "")), rf"{fixed.SPACE}+"), written))
+_MONTH_NUMBERS = {name.lower(): k for k, name in enumerate(fixed.MONTH_ABBREVIATIONS, 1)}
 
 
-def _with_table_currency(text):
-    """Mark numbers in table rows below a header that names crore or lakh."""
-    rows = F.transform(lines(text), lambda line: F.struct(
-        line.alias("line"),
-        line.rlike(rf"^{fixed.SPACE}*\|").alias("cell"),
-        (line.rlike(rf"^{fixed.SPACE}*\|") & line.rlike(fixed.TABLE_RULE)).alias("rule")))
-    return let(rows, lambda r: let(_table_heads(r), lambda heads: let(_run_starts(heads), lambda starts: F.array_join(
-        F.flatten(F.transform(starts, lambda start, k: _marked_run(heads, starts, start, k))), "\n"))))
+@F.arrow_udf(_DATES)
+def _days(raws: pa.Array) -> pa.Array:
+    return pa.array([None if row is None else [{"raw": raw, "value": _day(raw)} for raw in row] for row in raws.to_pylist()],
+                    pa.list_(pa.struct([("raw", pa.string()), ("value", pa.date32())])))
 
 
-def _table_heads(rows):
-    """Per line: does a run start here, and which currency its header names."""
-    def head(row, i):
-        before, following = F.get(rows, i - 1), F.get(rows, i + 1)
-        header = row["cell"] & (row["line"].rlike(fixed.TABLE_MONEY) | F.coalesce(following["rule"], F.lit(False)))
-        caption = F.when((i > 0) & ~before["cell"], before["line"]).otherwise("")
-        named = F.lower(F.regexp_extract(F.concat(caption, F.lit("\n"), row["line"]), fixed.TABLE_MONEY, 1))
-        return F.struct(row["line"].alias("line"), (header | ~row["cell"] | (i == 0)).alias("first"),
-                        F.when(header, named).otherwise("").alias("currency"))
-    return F.transform(rows, head)
+def dates(text):
+    """Full dates in a text as an array of (raw, value); impossible dates have no value."""
+    return _days(raw_dates(text))
 
 
-def _run_starts(heads):
-    return F.filter(F.sequence(F.lit(0), F.size(heads) - 1), lambda i: F.get(heads, i)["first"])
+def _compiled(pattern, flags=0):
+    """A pattern of ``fixed`` for use in Python, whose own shorthands know Unicode."""
+    return re.compile(pattern.replace("(?iu)", "").replace(r"\p{L}\p{N}_", r"\w").replace(r"\p{Nd}", r"\d"), flags)
 
 
-def _marked_run(heads, starts, start, k):
-    head = F.get(heads, start)
-    until = F.coalesce(F.get(starts, k + 1), F.size(heads))
-    mark = F.when(head["currency"] == "crore", _CRORE).when(head["currency"] == "lakh", _LAKH)
-    rest = F.slice(heads, start + 2, F.greatest(until - start - 1, F.lit(0)))
-    return F.concat(F.array(head["line"]), F.transform(rest, lambda r: F.when(
-        mark.isNotNull(), F.regexp_replace(r["line"], F.lit(fixed.NUMBER), F.concat(F.lit("$0"), mark))).otherwise(r["line"])))
+_BREAK, _ROW, _RULE = _compiled(fixed.LINE_BREAK), _compiled(rf"{fixed.SPACE}*\|"), _compiled(fixed.TABLE_RULE)
+_MONEY, _NUMBER = _compiled(fixed.TABLE_MONEY, re.IGNORECASE), _compiled(fixed.NUMBER)
 
 
-QUANTITY = "struct<text:string,dimension:string,key:string,exponent:int,prec:int,approx:boolean>"
+def _marked_tables(text):
+    """The text with a mark behind each number in table rows below a header that names crore or lakh."""
+    out, caption = [], ""
+    for is_table, run in groupby(_BREAK.split(text), lambda line: bool(_ROW.match(line))):
+        rows = list(run)
+        if is_table:
+            heads = [k for k, row in enumerate(rows) if _MONEY.search(row) or any(map(_RULE.match, rows[k + 1:k + 2]))]
+            for head, end in zip(heads, [*heads[1:], len(rows)]):
+                named = _MONEY.search(f"{'' if head else caption}\n{rows[head]}")
+                if named:
+                    mark = _CRORE if named[1].lower() == "crore" else _LAKH
+                    rows[head + 1:end] = [_NUMBER.sub(lambda m, mark=mark: m[0] + mark, row) for row in rows[head + 1:end]]
+        caption = rows[-1]
+        out += rows
+    return "\n".join(out)
 
 
-def quantities(text):
-    """Numbers in a text with unit, sign and approximation, as an array of structs.
+@F.arrow_udf(T.StringType())
+def _tables(texts: pa.Array) -> pa.Array:
+    return pa.array([None if text is None else _marked_tables(text) for text in texts.to_pylist()], pa.string())
 
-    ``key`` is the exact value written canonically (sign, digits, exponent), so
-    equality is a string test at any length; ``decimal_of`` gives it as a decimal. Dates, period labels and bare years are no numbers.
-    """
+
+def marks(text):
+    """A text whose numbers are marked with their parts; '' where it has none."""
     t = F.translate(text, "−" + _MARKS, "-" + _OTHER * len(_MARKS))
     t = F.regexp_replace(t, fixed.FULL_DATE, " ")
     t = F.regexp_replace(t, fixed.PERIOD, " ")
     t = F.regexp_replace(t, fixed.RANGE_HYPHEN, " ")
     t = F.regexp_replace(t, fixed.RANGE_UNIT, " $1")
-    marked = let(t, lambda t: F.when(
-        t.rlike(rf"(?m)^{fixed.SPACE}*\|") & t.rlike(fixed.TABLE_MONEY), _with_table_currency(t)).otherwise(t))
-    # One pass tags every number with its parts; the rest is splitting at marks.
-    tagged = F.split(F.regexp_replace(marked, _QUANTITY, _TAGGED), _FOUND)
-    pieces = F.transform(F.slice(tagged, 2, 1 << 30), lambda c: F.split(F.substring_index(c, _REST, 1), _FIELD))
-    kept = F.filter(F.transform(pieces, _unit), lambda q: ~(
-        (q["dimension"] == "scalar") & q["text"].rlike(fixed.BARE_YEAR)))
-    return F.when(text.rlike(r"\p{Nd}"), F.transform(F.transform(kept, _digits), _value)).otherwise(empty(QUANTITY))
-
-
-def _unit(c):
-    down, approx, money, table = (c[i] != "" for i in (0, 1, 2, 4))
-    number, mark, label = c[3], c[4], F.lower(c[5])
-    dimension = (F.when(label == "", F.when(money | table, "rupees").otherwise("scalar"))
-                 .when(label.isin("%", "percent"), "percent").when(label.startswith("b"), "bps")
-                 .when(label.isin("times", "x"), "ratio").otherwise("rupees"))
-    exponent = (F.when(label.startswith("crore"), fixed.CRORE_EXPONENT).when(label.startswith("lakh"), fixed.LAKH_EXPONENT)
-                .when((label == "") & ~money, F.when(mark == _CRORE, fixed.CRORE_EXPONENT)
-                      .when(mark == _LAKH, fixed.LAKH_EXPONENT).otherwise(0)).otherwise(0))
-    return F.struct(
-        number.alias("text"), dimension.alias("dimension"), exponent.alias("exponent"),
-        ascii_digits(F.translate(number, "-+,", "")).alias("bare"),
-        (number.startswith("-") | (down & ~number.startswith("+"))).alias("negative"), approx.alias("approx"))
-
-
-def _digits(q):
-    """Leading zeros go here, trailing ones in ``_value``; each string is made once."""
-    bare = q["bare"]
-    return F.struct(
-        q["text"], q["dimension"], q["exponent"], bare.alias("bare"), q["approx"],
-        F.when(q["negative"], "-").otherwise("").alias("sign"),
-        F.when(bare.contains("."), F.length(bare) - F.instr(bare, ".")).otherwise(0).alias("prec"),
-        F.ltrim(F.translate(bare, ".", ""), F.lit("0")).alias("digits"))
+    # Only texts with a table and its currency cross to Python here.
+    table = t.contains("|") & t.rlike(rf"(?m)^{fixed.SPACE}*\|") & t.rlike(fixed.TABLE_MONEY)
+    marked = F.coalesce(_tables(F.when(table, t)), t)
+    return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(marked, _QUANTITY, _TAGGED)).otherwise("")
+
+
+_YEARS = ("19", "20", "21")
+_DIMENSIONS = {"%": "percent", "percent": "percent", "bps": "bps", "times": "ratio", "x": "ratio"}
+
+
+@lru_cache(1 << 16)
+def _quantity(piece):
+    """(text, dimension, key, exponent, decimals, approximate) of one marked number; None for a bare year."""
+    down, approx, money, number, table, label = piece.split(_FIELD)
+    label = label.lower()
+    if label:
+        dimension = _DIMENSIONS.get(label) or ("bps" if label.startswith("basis") else "rupees")
+        exponent = fixed.CRORE_EXPONENT if label.startswith("crore") else fixed.LAKH_EXPONENT if label.startswith("lakh") else 0
+    else:
+        dimension = "rupees" if money or table else "scalar"
+        exponent = 0 if money or not table else fixed.CRORE_EXPONENT if table == _CRORE else fixed.LAKH_EXPONENT
+    bare = number.translate(_TO_ASCII) if not number.isascii() else number
+    if dimension == "scalar" and len(number) == 4 and bare.isdigit() and number[:2] in _YEARS:
+        return None
+    whole, _, decimals = bare.lstrip("+-").replace(",", "").partition(".")
+    digits = (whole + decimals).lstrip("0")
+    short = digits.rstrip("0")
+    sign = "-" if number[0] == "-" or down and number[0] != "+" else ""
+    key = f"{sign}{short}e{exponent - len(decimals) + len(digits) - len(short)}" if short else "0"
+    return number, dimension, key, exponent, len(decimals), bool(approx)
+
+
+def _read(marked):
+    """Quantities of a marked text."""
+    found = (_quantity(part.partition(_REST)[0]) for part in marked.split(_FOUND)[1:])
+    return [q for q in found if q is not None]
+
+
+_FIELDS = {"text": pa.string(), "dimension": pa.string(), "key": pa.string(), "exponent": pa.int32(), "prec": pa.int32(), "approx": pa.bool_()}
+
+
+@F.arrow_udf(_QUANTITIES)
+def _quantities(marked: pa.Array) -> pa.Array:
+    rows = [[] if row is None else _read(row) for row in marked.to_pylist()]
+    offsets = [0]
+    for row in rows:
+        offsets.append(offsets[-1] + len(row))
+    columns = list(zip(*(q for row in rows for q in row))) or [()] * len(_FIELDS)
+    values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _FIELDS.values())], list(_FIELDS))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def quantities(text):
+    """Numbers in a text with unit, sign and approximation, as an array of structs.
+
+    ``key`` is the exact value written canonically (sign, digits, exponent), so
+    equality is a string test at any length; ``decimal_of`` gives it as a decimal. Dates, period labels and bare years are no numbers.
+    """
+    return _quantities(marks(text))
 
 
 def _value(q):
-    short = F.rtrim(q["digits"], F.lit("0"))
-    power = q["exponent"] - q["prec"] + F.length(q["digits"]) - F.length(short)
-    return F.struct(
-        q["text"].alias("text"), q["dimension"].alias("dimension"),
-        F.when(short == "", "0").otherwise(F.concat(q["sign"], short, F.lit("e"), power.cast("string"))).alias("key"),
-        q["exponent"].alias("exponent"), q["prec"].alias("prec"), q["approx"].alias("approx"))
+    """Dimension and exact value as one string."""
+    return f"{q[1]} {q[2]}"
+
+
+@F.arrow_udf(_STRINGS)
+def _values(marked: pa.Array) -> pa.Array:
+    return pa.array([[] if row is None else sorted({_value(q) for q in _read(row)}) for row in marked.to_pylist()], pa.list_(pa.string()))
+
+
+def values(text):
+    """The different values of a text, each as dimension and canonical key: all that evidence is asked for."""
+    return _values(marks(text))
 
 
 def decimal_of(key):
@@ -161,17 +208,16 @@ def decimal_of(key):
 
 def _parts(key):
     """Sign, digits and power of ten of a canonical key; zero has no digits."""
-    zero = key == "0"
-    return (F.when(key.startswith("-") & ~zero, "-").otherwise(""), F.when(zero, "").otherwise(F.regexp_extract(key, r"^-?(\d*)", 1)),
-            F.when(zero, 0).otherwise(F.regexp_extract(key, r"e(-?\d+)$", 1).cast("int")))
+    if key == "0":
+        return "", "", 0
+    digits, _, power = key.lstrip("-").partition("e")
+    return "-" if key[0] == "-" else "", digits, int(power)
 
 
 def _plus_one(digits):
     """A whole number as digits, raised by one, at any length."""
-    head = F.rtrim(digits, F.lit("9"))
-    nines = F.repeat(F.lit("0"), F.length(digits) - F.length(head))
-    last = F.coalesce(F.right(head, F.lit(1)).try_cast("int"), F.lit(0)) + 1
-    return F.concat(F.left(head, F.greatest(F.length(head) - 1, F.lit(0))), last.cast("string"), nines)
+    head = digits.rstrip("9")
+    return f"{head[:-1]}{int(head[-1:] or 0) + 1}{'0' * (len(digits) - len(head))}"
 
 
 def rounds_to(value, shown, prec, exponent):
@@ -185,33 +231,71 @@ def rounds_to(value, shown, prec, exponent):
     shown_sign, shown_digits, shown_power = _parts(shown)
     place = exponent - prec
     moved = power - place
-    cut = F.greatest(F.length(digits) + moved, F.lit(0))
-    whole = F.when(moved >= 0, F.concat(digits, F.repeat(F.lit("0"), moved))).otherwise(F.left(digits, cut))
-    # The first digit cut off; where the value is smaller than that place it is 0.
-    first = F.when((moved >= 0) | (F.length(digits) + moved < 0), "0").otherwise(F.substring(digits, cut + 1, F.lit(1)))
-    rounded = F.when(first >= "5", _plus_one(whole)).otherwise(whole)
-    wanted = F.concat(shown_digits, F.repeat(F.lit("0"), F.greatest(shown_power - place, F.lit(0))))
-    rounded, wanted = F.ltrim(rounded, F.lit("0")), F.ltrim(wanted, F.lit("0"))
-    return (rounded == wanted) & ((sign == shown_sign) | (wanted == ""))
+    if moved >= 0:
+        rounded = digits + "0" * moved
+    else:
+        cut = len(digits) + moved  # below 0 the first digit cut off is a 0
+        rounded = digits[:max(cut, 0)]
+        if cut >= 0 and digits[cut:cut + 1] >= "5":
+            rounded = _plus_one(rounded)
+    rounded, wanted = rounded.lstrip("0"), (shown_digits + "0" * max(shown_power - place, 0)).lstrip("0")
+    return rounded == wanted and (sign == shown_sign or not wanted)
 
 
-def unsupported(claimed, evidence):
-    """The claimed quantities that no quantity of the evidence supports.
+def _missing(claimed, known):
+    """The claimed quantities that no known value supports.
 
     Exact values match on their key; a claim marked approximate may also match
     a value that rounds to what it displays.
     """
-    def supported(c):
-        return F.exists(evidence, lambda e: (e["dimension"] == c["dimension"]) & (
-            (e["key"] == c["key"])
-            | (c["approx"] & F.coalesce(rounds_to(e["key"], c["key"], c["prec"], c["exponent"]), F.lit(False)))))
-    return F.filter(claimed, lambda c: ~supported(c))
+    def supported(q):
+        _, dimension, key, exponent, prec, approx = q
+        if _value(q) in known:
+            return True
+        return approx and any(rounds_to(v.partition(" ")[2], key, prec, exponent) for v in known if v.startswith(dimension + " "))
+    return [q for q in claimed if not supported(q)]
+
+
+def _known(found, reread):
+    return {_value(q) for q in _read(reread)} if reread is not None else set(found or ())
+
+
+@F.arrow_udf(_STRINGS)
+def _unsupported(claimed: pa.Array, known: pa.Array) -> pa.Array:
+    return pa.array([[q[0] for q in _missing(_read(c or ""), _known((), k or ""))] for c, k in zip(claimed.to_pylist(), known.to_pylist())], pa.list_(pa.string()))
+
+
+def unsupported(text, evidence):
+    """The numbers of a text, as written, that no number of the evidence supports."""
+    return _unsupported(marks(text), marks(evidence))
+
 
+@F.arrow_udf(_STRINGS)
+def _undated(claimed: pa.Array, known: pa.Array) -> pa.Array:
+    rows = zip(claimed.to_pylist(), known.to_pylist())
+    return pa.array([_lost(c or (), k or ()) for c, k in rows], pa.list_(pa.string()))
 
-def undated(claimed, supported):
-    """The claimed dates that are impossible or not among the supported days."""
-    return F.filter(claimed, lambda d: d["value"].isNull() | ~F.coalesce(
-        F.array_contains(supported, d["value"]), F.lit(False)))
+
+def _lost(claimed, known):
+    days = {_day(raw) for raw in known} - {None}
+    return [raw for raw in claimed if _day(raw) not in days]
+
+
+def undated(text, *evidence):
+    """The dates of a text, as written, that are impossible or in none of the evidence texts."""
+    return _undated(raw_dates(text), F.concat(*[raw_dates(e) for e in evidence]))
+
+
+@F.arrow_udf(_STRINGS)
+def _errors(claimed: pa.Array, days: pa.Array, known: pa.Array, reread: pa.Array, known_days: pa.Array) -> pa.Array:
+    out = []
+    for c, d, k, again, kd in zip(*(x.to_pylist() for x in (claimed, days, known, reread, known_days))):
+        messages = [f"Date {raw} is not found in the cited source" for raw in _lost(d or (), kd or ())] if d else []
+        numbers = _read(c or "")
+        if numbers:
+            messages += [f"Number {q[0]} ({q[1]}) is not supported by the cited quotes" for q in _missing(numbers, _known(k, again))]
+        out.append(messages)
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def number_errors(text, evidence, date_context):
@@ -220,15 +304,34 @@ def number_errors(text, evidence, date_context):
     ``text`` and ``evidence`` are normalised already; ``date_context`` adds days
     (titles, publication dates) and no numbers.
     """
-    return let(evidence, lambda ev: F.concat(_date_errors(text, ev, date_context), _quantity_errors(text, ev)))
+    none = F.lit(None).cast("array<string>")
+    return _errors(marks(text), raw_dates(text), none, marks(evidence), F.concat(raw_dates(evidence), raw_dates(date_context)))
 
 
-def _date_errors(text, evidence, date_context):
-    days = F.transform(F.concat(dates(evidence), dates(date_context)), lambda d: d["value"])
-    return let(days, lambda known: F.transform(undated(dates(text), known), lambda d: F.concat(
-        F.lit("Date "), d["raw"], F.lit(" is not found in the cited source"))))
+# Whether a match could cross the line end between two passages: what may stand before it, and what behind.
+_LEADS = (rf"(?iu)(?:[₹~]|{fixed.DIGIT},?|{fixed.START}(?:Rs\.?|Q|H|FY|basis|by|of|to|{fixed.APPROX_WORDS}|{fixed.DOWN_WORDS}|{fixed.UP_WORDS}"
+          rf"|decrease|decline|drop|fall|contraction|reduction|increase|rise|growth|(?:{fixed.MONTH_NAME})\.?)){fixed.SPACE}*\z")
+_FOLLOWS = rf"(?iu)\A{fixed.SPACE}*(?:[-+.₹%|{fixed.DIGIT}]|(?:Rs|by|of|to|points?|percent|bps|basis|crores?|lakhs?|times|x|{fixed.MONTH_NAME}){fixed.END}|Rs\.|\z)"
 
 
-def _quantity_errors(text, evidence):
-    return let(quantities(evidence), lambda known: F.transform(unsupported(quantities(text), known), lambda q: F.concat(
-        F.lit("Number "), q["text"], F.lit(" ("), q["dimension"], F.lit(") is not supported by the cited quotes"))))
+def read_passage(quote, title, published):
+    """What claims ask of a passage, read once: its values, its days and those of its context, and how it may join with others."""
+    context = F.concat_ws("\n", title, published.cast("string"))
+    blank = ~quote.rlike(rf"[^{fixed.SPACE[1:-1]}]")
+    joint = F.concat(F.when(quote.rlike(_FOLLOWS), "f").otherwise(""), F.when(quote.rlike(rf"\A{fixed.SPACE}*\|"), "t").otherwise(""),
+                     F.when(quote.rlike(_LEADS) | blank, "l").otherwise(""))
+    return {"values": values(quote), "days": raw_dates(quote), "context": context, "context_days": raw_dates(context), "joint": joint}
+
+
+def passage_errors(text, passages):
+    """``number_errors`` of a claim over passages that ``read_passage`` has read, in their order.
+
+    Numbers and dates are read again, from the joined quotes, only where a match could cross from one
+    passage into the next; titles and days of publication only where a passage has no day.
+    """
+    crosses = F.array_join(passages["joint"], "|").rlike(r"l\|f|\|f?t")
+    quotes, context = F.array_join(passages["quote"], "\n"), F.array_join(passages["context"], "\n")
+    undated = (F.size(passages) > 1) & (F.size(F.array_compact(passages["published"])) < F.size(passages))
+    days = F.when(crosses, raw_dates(quotes)).otherwise(F.flatten(passages["days"]))
+    context_days = F.when(undated, raw_dates(context)).otherwise(F.flatten(passages["context_days"]))
+    return _errors(marks(text), raw_dates(text), F.flatten(passages["values"]), F.when(crosses, marks(quotes)), F.concat(days, context_days))

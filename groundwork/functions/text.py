@@ -3,7 +3,6 @@
 import json
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,9 +11,9 @@ from groundwork import fixed
 from groundwork.functions.bind import empty, let
 
 
-@F.pandas_udf(StringType())
-def _compose(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+@F.arrow_udf(StringType())
+def _compose(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
 
 
 def nfkc(text):

@@ -15,20 +15,17 @@ def _all(conditions):
 def number_rows(rows, keys, order, name, partitions=None):
     """Number the rows of each key 1, 2, 3, ... in ``order``.
 
-    A window over the key would sort a hot key in one task. Here the order columns
-    are range-partitioned, so a hot key spreads over many tasks; each task numbers
-    its own stretch, and a small table of stretch sizes gives the offsets. The
-    sorted key columns are written out, because range bounds are drawn from a
-    sample and must not be drawn again between the two reads.
-
-    The numbers are joined back on keys and order. Rows equal in both share a stretch
-    of numbers and are told apart in the join's own partitions, so none is multiplied
-    and only key columns are moved for the numbering.
+    A window over the key would sort a hot key in one task. Here whole rows are dealt in
+    ranges of the order columns, so a hot key spreads over many tasks, and written in
+    that order once; a row's place in its range and the sizes of the ranges before give
+    its number. That is one shuffle of the rows. The offsets have a row per key and range: Spark
+    broadcasts them where they are small and else joins by shuffle. Rows equal in keys and order
+    have places of their own, so none is multiplied.
     """
     spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = [*keys, *order]
-    ranged = session.stage(rows.select(*columns).repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    ranged = session.stage(rows.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
                            .withColumn("_rid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_stretch", F.shiftright("_rid", 33))
     stretches = ranged.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"), F.min("_rid").alias("_first"))
@@ -37,12 +34,7 @@ def number_rows(rows, keys, order, name, partitions=None):
     offsets = stretches.select(*keys, "_stretch", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
     offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_stretch").alias("_o_stretch"), "_base")
     match = _all([F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_stretch") == F.col("_o_stretch")])
-    numbers = ranged.join(offsets, match).select(
-        *[F.col(c).alias(f"_n_{c}") for c in columns], (F.col("_rid") + F.col("_base") + 1).cast("bigint").alias("_number"))
-    numbers = numbers.groupBy(*[f"_n_{c}" for c in columns]).agg(F.min("_number").alias("_number"))
-    same = _all([F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in columns])
-    alike = F.row_number().over(Window.partitionBy(*[f"_n_{c}" for c in columns]).orderBy(F.lit(0)))
-    return rows.join(numbers, same).withColumn(name, F.col("_number") + alike - 1).select(*rows.columns, name)
+    return ranged.join(offsets, match).select(*rows.columns, (F.col("_rid") + F.col("_base") + 1).cast("bigint").alias(name))
 
 
 def latest(rows, keys, order):

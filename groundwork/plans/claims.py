@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from groundwork import fixed
-from groundwork.functions.numbers import dates, decimal_of, number_errors, quantities, undated, unsupported
+from groundwork.functions.numbers import decimal_of, number_errors, quantities, undated, unsupported
 from groundwork.functions.text import claim_key, source_ids
 from groundwork.operators import grounding
 from groundwork.plans import corpus
@@ -73,8 +73,7 @@ def approx_grounding(spark, sf):
     rows = ranges(spark, sf).withColumns({
         "claim": F.concat(F.lit("The price was about Rs "), shown, F.lit(" crore.")),
         "evidence": F.format_string("Priced at Rs %d.", "lo")})
-    return rows.select("k", "ln", (F.size(unsupported(
-        quantities(F.col("claim")), quantities(F.col("evidence")))) == 0).alias("supported"))
+    return rows.select("k", "ln", (F.size(unsupported(F.col("claim"), F.col("evidence"))) == 0).alias("supported"))
 
 
 @query("direction_sign", "WITH " + LINES_SQL + """
@@ -86,8 +85,7 @@ def direction_sign(spark, sf):
     rows = ranges(spark, sf).withColumns({
         "claim": F.concat(F.lit("Discounts "), word, F.lit(" "), "dhi", F.lit(" basis points.")),
         "evidence": F.concat(F.lit("Change: "), sign, "dlo", F.lit(" bps."))})
-    return rows.select("k", "ln", (F.size(unsupported(
-        quantities(F.col("claim")), quantities(F.col("evidence")))) == 0).alias("supported"))
+    return rows.select("k", "ln", (F.size(unsupported(F.col("claim"), F.col("evidence"))) == 0).alias("supported"))
 
 
 @query("date_grounding", "WITH " + LINES_SQL + """
@@ -100,8 +98,8 @@ def date_grounding(spark, sf):
                           F.date_format("last", "yyyy"), F.lit(".")),
         "evidence": F.concat(F.lit("Shipment of "), F.date_format("first", "MMM d, yyyy"), F.lit(".")),
         "context": F.date_add("first", 1).cast("string")})
-    known = F.transform(F.concat(dates(F.col("evidence")), dates(F.col("context"))), lambda d: d["value"])
-    missing = F.transform(undated(dates(F.col("claim")), known), lambda d: d["raw"])
+    rows = rows.withColumn("missing", undated(F.col("claim"), F.col("evidence"), F.col("context")))
+    missing = F.col("missing")
     shown = F.when(F.size(missing) == 2, joined(missing)).otherwise(F.concat(F.lit(" | "), joined(missing)))
     return rows.select("k", "ln", shown.alias("unsupported"))
 

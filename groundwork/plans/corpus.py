@@ -78,13 +78,14 @@ def filings(spark, sf, keep=(), as_of=AS_OF, pack=None):
     rows = orders(spark, sf)
     if pack is not None:
         rows = rows.withColumn("pack_id", pack)
+    # Numbered before the texts are made, so only small rows are sorted.
+    rows = packs.numbered(rows.withColumn("sha256", F.sha2(F.concat("pack_id", "filename"), 256)))
     raw = body_text()
     rows = rows.select(
-        "pack_id", "filename", F.concat(F.lit("Order desk "), "s").alias("source"), "url", "published",
-        F.lower("type").alias("source_type"), F.sha2(F.concat("pack_id", "filename"), 256).alias("sha256"),
-        hidden_counts(raw).alias("removals"), without_hidden(raw).alias("body"),
+        "pack_id", "filename", "sid", F.concat(F.lit("Order desk "), "s").alias("source"), "url", "published",
+        F.lower("type").alias("source_type"), "sha256", hidden_counts(raw).alias("removals"), without_hidden(raw).alias("body"),
         *[c for c in ("k", "c", "s", "p", "cents", "pct", "debt") if c in keep or c == "k"])
-    return session.stage(packs.aged(packs.numbered(rows), as_of))
+    return session.stage(packs.aged(rows, as_of))
 
 
 def with_route(documents):

@@ -136,17 +136,28 @@ def source_hits(spark, sf):
     return coverage.source_hits(units).select("pack_id", "topic", "uid", joined("figures", ",").alias("figures"))
 
 
-@query("coverage_notes", "WITH " + COVER_SQL + """
-SELECT pack_id, topic, CASE status WHEN 'partial' THEN missing || ' figure(s) of uncited passages are in no accepted claim.' WHEN 'review_needed' THEN hits || ' passage(s) touch this topic and no accepted claim does.'
-  WHEN 'not_found' THEN 'No recent primary passage touches this topic.' END AS note FROM cv
-UNION ALL SELECT pack_id, 'all', 'Checked ' || count(*) FILTER (why IS NULL) || ' recent primary document(s)' || CASE WHEN count(why) > 0 THEN '; outside this check: ' || concat_ws(', ',
+@query("coverage_notes", "WITH " + COVER_SQL + """,
+w AS (SELECT hf.pack_id, hf.topic, hf.figure, min((hf.sn, hf.u, hf.figure)) AS place FROM (
+  SELECT h.pack_id, topic, CAST(substr(h.sid, 2) AS BIGINT) AS sn, h.u, h.u = '.u03' AND c.sid IS NOT NULL AS is_cited, unnest(fig) AS figure FROM h LEFT JOIN cited c ON c.pack_id = h.pack_id AND c.sid = h.sid) hf
+  WHERE NOT is_cited GROUP BY 1, 2, 3),
+fl AS (SELECT mf.pack_id, mf.topic, string_agg(CAST(mf.figure AS VARCHAR), ', ' ORDER BY w.place) AS list FROM mf JOIN w USING (pack_id, topic, figure) GROUP BY 1, 2)
+SELECT cv.pack_id, cv.topic, CASE status WHEN 'partial' THEN 'Figures to review in uncited passages: ' || list || '. These numeric tokens did not match accepted claim text; compare their meaning and units.'
+  WHEN 'mentioned' THEN 'Wording matched in source text and the brief. Review whether figures, periods and scope align.'
+  WHEN 'review_needed' THEN 'Source wording matched, but no keyword match was found in accepted claim text. Review these passages; leaving them out may be justified.'
+  ELSE 'No keyword match in eligible source text; this does not establish that the topic is absent.' || CASE WHEN claims > 0 THEN ' Brief wording did match, so inspect its evidence separately.' ELSE '' END END AS note
+FROM cv LEFT JOIN fl ON fl.pack_id = cv.pack_id AND fl.topic = cv.topic
+UNION ALL SELECT pack_id, 'all', 'Checked ' || count(*) FILTER (why IS NULL) || ' admitted primary source(s) aged 0 to 365 days. These keyword cues suggest review topics, not completeness, factual accuracy or materiality. '
+  || 'Citations alone do not count as mentions. Paraphrases and mixed statements may be missed. Figure matching compares numeric tokens across all claims, without aligning metrics, signs, units or scale. '
+  || 'Older unresolved issues can still matter and need separate review.' || CASE WHEN count(why) > 0 THEN ' Sources outside this check: ' || concat_ws(', ',
   CASE WHEN count(*) FILTER (why = 'a') > 0 THEN count(*) FILTER (why = 'a') || ' not admitted' END, CASE WHEN count(*) FILTER (why = 'b') > 0 THEN count(*) FILTER (why = 'b') || ' not primary' END,
-  CASE WHEN count(*) FILTER (why = 'd') > 0 THEN count(*) FILTER (why = 'd') || ' dated after the as-of date' END, CASE WHEN count(*) FILTER (why = 'e') > 0 THEN count(*) FILTER (why = 'e') || ' older' END) ELSE '' END || '.'
+  CASE WHEN count(*) FILTER (why = 'd') > 0 THEN count(*) FILTER (why = 'd') || ' future' END, CASE WHEN count(*) FILTER (why = 'e') > 0 THEN count(*) FILTER (why = 'e') || ' older' END) || '.' ELSE '' END
 FROM (SELECT pack_id, CASE WHEN p = '5-LOW' THEN 'a' WHEN tier > 2 THEN 'b' WHEN age < 0 THEN 'd' WHEN age > 365 THEN 'e' END AS why FROM n) GROUP BY pack_id""")
 def coverage_notes(spark, sf):
-    """A line per topic that needs a look, and one on what each pack's check covered."""
+    """What to say about every topic of a pack, the list of missing figures in it, and what the check of the pack covered."""
     docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt")))
     units = corpus.filing_units(docs, keep=KEEP)
     claims = corpus.claims(docs).join(docs.select(F.col("k").alias("claim_id"), (F.col("s") == "F").alias("accepted")), "claim_id")
-    lines = coverage.notes(coverage.topic_summary(docs.select("pack_id").distinct(), units, claims)).select("pack_id", "topic", "note")
+    summary = coverage.topic_summary(docs.select("pack_id").distinct(), units, claims)
+    lines = coverage.notes(summary, coverage.missing_figures(units, claims)).groupBy("pack_id", "topic").agg(F.array_sort(F.collect_list(F.struct("part", "note"))).alias("n"))
+    lines = lines.select("pack_id", "topic", F.array_join("n.note", "").alias("note"))
     return lines.unionByName(coverage.pack_notices(docs).select("pack_id", F.lit("all").alias("topic"), F.col("notice").alias("note")))

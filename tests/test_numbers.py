@@ -1,12 +1,14 @@
 """Rules for numbers, dates and their support, on sentences put together from the rules."""
 
+import datetime
 import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.functions.numbers import dates, number_errors, quantities
+from groundwork.functions.numbers import dates, number_errors, passage_errors, quantities, read_passage
 from groundwork.functions.text import nfkc
+from groundwork.operators import grounding
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -155,3 +157,41 @@ def test_dates_and_their_faults(spark):
     found = [(d.raw, str(d.value)) for d in row.d]
     assert found[0] == ("31 April 2025", "None") and ("9 Feb 2026", "2026-02-09") in found and ("July 14, 2023", "2023-07-14") in found
     assert all("Brumaire" not in raw for raw, _ in found)
+
+
+def _joined_cases():
+    """Passages whose ends and beginnings belong together in every way the rules know."""
+    ends = ("It cost Rs", "It cost Rs.", "Paid ₹", "Sales fell", "Sales fell by", "a decline", "a decline of", "Lost about", "approx.", "spent ~", "A sum of 15", "15 to",
+            "15 basis", "On 5 March", "On 5 Mar.", "March 5,", "Seen in Q", "Seen in FY", "**Amounts in ₹ crore**", "| Metric | ₹ lakh |", "| Metric | Now |", "Plain end.", "", "  ", "until 2021-0")
+    starts = ("15 crore was due.", "15", "by 15 lakh", "of 15%", "to 17 percent", "points more", "percent of all", "lakh in all", "crore", "x the old rate", "March 2024 began", "2024 began", "3 was", "24 was",
+              "|---|---|\n| Fuel | 15 |", "| Fuel | 15 | 2,000 |", "Rs 15 more", "~15", "-15 bps", "Plain start 15.", "", ".5 times", "8 April 2024")
+    claims = ("It cost Rs 15 crore and 15 lakh, 15%, 17 percent, 15 bps, -15 lakh, 15, 2000 crore, 2,000.", "On 5 March 2024 and 8 April 2024 and 2024-03-05.", "About 15 times; fell by 15%; 3 or 24; Rs 15; .5 times; 15 basis points.")
+    for k, (a, b) in enumerate(itertools.product(ends, starts)):
+        yield claims[k % 3], [a, b]
+        yield claims[(k + 1) % 3], [f"First. {a}", b, ends[(7 * k + 3) % len(ends)], starts[(5 * k) % len(starts)]]
+
+
+def test_passages_read_once_give_what_the_joined_text_gives(spark):
+    cases = [(k, text, quotes) for k, (text, quotes) in enumerate(_joined_cases())]
+    titles = ("Results 5 March", "Notes", "April", "2024")
+    day = datetime.date(2024, 2, 3)
+    quotes = [(k, at, q, titles[(k + at) % 4], None if k % 11 == at else day) for k, _, qs in cases for at, q in enumerate(qs)]
+    rows = spark.createDataFrame(quotes, "k int, at int, quote string, title string, published date")
+    rows = rows.withColumns(read_passage(F.col("quote"), F.col("title"), F.col("published")))
+    cited = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "quote", "published", "values", "days", "context", "context_days", "joint"))).alias("p"))
+    claims = spark.createDataFrame([(k, t, "\n".join(qs)) for k, t, qs in cases], "k int, t string, e string").join(cited, "k")
+    context = F.array_join(F.col("p.context"), "\n")
+    both = claims.select("e", passage_errors(F.col("t"), F.col("p")).alias("once"), number_errors(F.col("t"), F.col("e"), context).alias("joined"))
+    assert [r for r in both.collect() if r.once != r.joined] == []
+    assert both.filter(F.size("once") > 0).count() > 300
+
+
+def test_hot_passage_is_read_once(spark):
+    """Thousands of claims cite one passage: the passages that are read stay two."""
+    units = spark.createDataFrame([("p", f"S1.u0{k}", "S1", True, f"Rs {k} crore", "T", datetime.date(2024, 1, 1), 10) for k in (1, 2, 3)],
+                                  "pack_id string, uid string, sid string, admitted boolean, quote string, title string, published date, age_days int")
+    claims = spark.range(4000).selectExpr("'p' as pack_id", "id as claim_id", "'bull' as section", "'It had Rs 1 crore.' as text", "'reported_fact' as kind",
+                                          "array('S1.u01', if(id = 7, 'S1.u02', 'S9.u01')) as cites")
+    assert grounding.read_passages(claims, units).count() == 2
+    errors = grounding.check_claims(claims, units).groupBy("code_errors").count().collect()
+    assert sorted((tuple(r["code_errors"]), r["count"]) for r in errors) == [((), 1), (("Unknown cited unit: S9.u01",), 3999)]
