@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from groundwork.llm import decontaminate, jaccard_join, mixing, quality_rules, shared, suffix_dedup
 
+#: Bytes of a repeated string that the third stage cuts out: fifty words of four letters and a space.
+PASSAGE = 250
+
 
 def quality(spark, docs, sf_dir):
     """Documents that the base rules or a learned rule reject go."""
@@ -22,8 +25,8 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def repeated_strings(spark, docs, sf_dir):
-    """Strings of 400 bytes or more that stand twice are cut out of the texts; n_chars follows."""
-    cut = suffix_dedup.cut(docs)
+    """Strings of `PASSAGE` bytes or more that stand twice are cut out of the texts; n_chars follows."""
+    cut = suffix_dedup.cut(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 
