@@ -13,6 +13,7 @@ further columns stay, but columns named like a result are replaced.
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
@@ -66,11 +67,17 @@ def scan(text, phrases, notices):
     words = _WORD.findall(text.lower())  # bytes.lower() touches A-Z only
     line = " " + b" ".join(words).decode("latin-1") + " "  # one character a byte, so errors are counted in bytes
     automaton, patterns = scanner(phrases, notices)
-    base, spans, tried = [], [], {}
+    base, spans, tried, spaces = [], [], {}, []
+
+    def word_at(place):
+        """The word that begins at a place: spaces are listed once, then looked up."""
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32))
+        return int(np.searchsorted(spaces[0], place)) - 1
     for end, (size, uses) in automaton.iter(line):
         for kind, what, at in uses:
             if kind == "phrase":
-                base.append((what, line.count(" ", 0, end - size + 2) - 1))
+                base.append((what, word_at(end - size + 2)))
                 continue
             label, length, errors, pattern = patterns[what]
             start = end - size + 1 - at
@@ -81,7 +88,7 @@ def scan(text, phrases, notices):
             if found:
                 tried[what] = found.end()
                 wrong = sum(found.fuzzy_counts)
-                spans.append((label, line.count(" ", 0, found.start()) - 1, line.count(" ", 0, found.end()) - 1, wrong, 1 - wrong / length))
+                spans.append((label, word_at(found.start()), word_at(found.end()), wrong, 1 - wrong / length))
     return len(words), base, spans
 
 
