@@ -118,16 +118,23 @@ def _tables(texts: pa.Array) -> pa.Array:
     return pa.array([None if text is None else _marked_tables(text) for text in texts.to_pylist()], pa.string())
 
 
-def marks(text):
-    """A text whose numbers are marked with their parts; '' where it has none."""
+def _masked(text):
+    """A text without dates and period labels, its ranges opened."""
     t = F.translate(text, "−" + _MARKS, "-" + _OTHER * len(_MARKS))
     t = F.regexp_replace(t, fixed.FULL_DATE, " ")
     t = F.regexp_replace(t, fixed.PERIOD, " ")
     t = F.regexp_replace(t, fixed.RANGE_HYPHEN, " ")
-    t = F.regexp_replace(t, fixed.RANGE_UNIT, " $1")
-    # Only texts with a table and its currency cross to Python here.
-    table = t.contains("|") & t.rlike(rf"(?m)^{fixed.SPACE}*\|") & t.rlike(fixed.TABLE_MONEY)
-    marked = F.coalesce(_tables(F.when(table, t)), t)
+    return F.regexp_replace(t, fixed.RANGE_UNIT, " $1")
+
+
+def marks(text):
+    """A text whose numbers are marked with their parts; '' where it has none.
+
+    Only texts that may hold a table with its currency cross to Python here. The test reads the
+    text as it is, so every text goes through the patterns once.
+    """
+    table = text.contains("|") & text.rlike(r"(?iu)₹|Rs") & text.rlike("(?iu)crore|lakh")
+    marked = F.when(table, _tables(F.when(table, _masked(text)))).otherwise(_masked(text))
     return F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(marked, _QUANTITY, _TAGGED)).otherwise("")
 
 

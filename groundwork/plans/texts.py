@@ -1,7 +1,10 @@
 """Queries about files, cleaning and cutting text."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from groundwork import session
 from groundwork.functions import text as tx
 from groundwork.operators import ordering, passes, segment
 from groundwork.plans import corpus
@@ -232,3 +235,23 @@ def profiles(spark, sf):
                     F.lit(" goods and services, today announced results of Example (NSE: CUST"), "c", F.lit("), a copy. End."))
     targets = docs.select("pack_id", F.concat(F.lit("CUST"), "c").alias("ticker")).distinct()
     return packs.profiles(docs.withColumn("body", body), targets)
+
+
+@query("pack_scan", """
+WITH f AS (SELECT 'nation-' || s_nationkey AS pack_id, s_suppkey AS k, '# ' || s_name || chr(10) || chr(10) || 'Balance of Rs ' || CAST(round(s_acctbal * 100) AS BIGINT) || '.' || chr(10) AS text FROM supplier)
+SELECT pack_id, k || '.md' AS filename, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, k % 2 = 1 AS changed FROM f""")
+def pack_scan(spark, sf):
+    """Packs written as files and scanned again; a second scan opens only files that an older manifest has with another length."""
+    text = F.concat(F.lit("# "), "s_name", F.lit("\n\nBalance of Rs "), F.round(F.col("s_acctbal") * 100).cast("bigint"), F.lit(".\n"))
+    rows = read(spark, sf, "supplier").select(F.concat(F.lit("nation-"), "s_nationkey").alias("pack_id"), F.concat("s_suppkey", F.lit(".md")).alias("filename"), text.cast("binary").alias("content"))
+    session.ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/packs-{uuid.uuid4().hex}"
+    packs.export(rows, folder)
+    packs.export(rows.limit(1).select("pack_id", F.lit("notes.txt").alias("filename"), "content"), folder)  # no Markdown, so not scanned
+    files = packs.scan(spark, f"{folder}/*")
+    name = F.element_at(F.split("path", "/"), -1)
+    odd = F.split(name, r"\.")[0].cast("bigint") % 2 == 1
+    known = session.stage(packs.manifest(files)).withColumn("length", F.when(odd, F.col("length") + 1).otherwise(F.col("length")))
+    new = packs.named(packs.changed(files, known)).select("pack_id", "filename", F.lit(True).alias("changed"))
+    found = packs.named(files).select("pack_id", "filename", F.col("length").alias("bytes"), packs.fingerprint(F.col("content")).alias("sha256"))
+    return found.join(new, ["pack_id", "filename"], "left").withColumn("changed", F.coalesce("changed", F.lit(False)))

@@ -1,5 +1,7 @@
 """Markdown packs: files to documents, with rejects kept as rows."""
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from groundwork import fixed, session
@@ -9,10 +11,50 @@ from groundwork.operators import ordering, segment
 
 
 def scan(spark, folder):
-    """Markdown files directly in pack folders; ``folder`` may be a glob such as ``packs/*``."""
+    """Markdown files directly in pack folders; ``folder`` may be a glob such as ``packs/*``. Spark lists no file of zero bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
 
 
+def export(files, folder):
+    """Write packs as a scan reads them: a folder per pack, a file per row of (pack_id, filename, content). Returns the number of files.
+
+    Tasks write by themselves, through the store the folder's URI names, so nothing passes the driver; a task that
+    runs again writes the same files again.
+    """
+    def written(batches):
+        store, top = FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        n = 0
+        for batch in batches:
+            for pack_id, filename, content in zip(*(batch.column(c).to_pylist() for c in ("pack_id", "filename", "content"))):
+                store.create_dir(f"{top}/{pack_id}", recursive=True)
+                with store.open_output_stream(f"{top}/{pack_id}/{filename}", compression=None) as out:
+                    out.write(content)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+    return files.select("pack_id", "filename", "content").mapInArrow(written, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+KNOWN = ("path", "modificationTime", "length")
+
+
+def manifest(files):
+    """What a later scan needs to tell which files have changed."""
+    return files.select(*KNOWN, fingerprint(F.col("content")).alias("sha256"))
+
+
+def changed(files, known):
+    """Files of a scan that a manifest does not know with their time and length.
+
+    The listing alone tells which; times of the new files then bound the second read, and the scan opens no
+    file outside those times. Nothing is opened where nothing changed.
+    """
+    new = files.select(*KNOWN).join(known.select(*KNOWN), list(KNOWN), "left_anti")
+    first, last = new.agg(F.min("modificationTime"), F.max("modificationTime")).first()
+    if first is None:
+        return files.limit(0)
+    return files.filter(F.col("modificationTime").between(F.lit(first), F.lit(last))).join(known.select(*KNOWN), list(KNOWN), "left_anti")
+
+
 def named(files):
     """Pack and file names from the paths of a scan."""
     parts = F.split("path", "/")

@@ -10,7 +10,7 @@ from groundwork import schemas, session
 from groundwork.functions.stats import interval_text, wilson
 from groundwork.functions.text import canonical_json
 from groundwork.functions.topics import figures, topics
-from groundwork.operators import coverage, passes, report, runs
+from groundwork.operators import assembly, coverage, passes, report, runs
 from groundwork.sources import artifacts
 from groundwork.streaming import drop_folder
 
@@ -180,8 +180,25 @@ def test_brief_files_are_in_order_and_never_overwritten(spark, tmp_path):
         "Removal details are recorded in checks.json.\n\nAs of 2026-01-01. Not investment advice.\n\n")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         report.write_brief(lines, path)
-    report.write_report({"claims": claims, "sources": docs}, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "claims")).count() == 3
+
+
+def test_a_report_is_published_whole_or_not_at_all(spark, tmp_path):
+    claims = spark.createDataFrame([("r1", "bull", 1, ["S1.u01"]), ("r2", "bear", 2, [])], "run_id string, section string, place int, cites array<string>")
+    sources = spark.range(3).selectExpr("'r1' as run_id", "id", "cast(null as string) as note")
+    broken = sources.withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")))
+    path = str(tmp_path / "report")
+    with pytest.raises(Exception, match="lost"):
+        report.write_report({"claims": claims, "broken": broken, "sources": sources}, path)
+    assert report.published(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        report.read_report(spark, path)
+    report.write_report({"claims": claims, "sources": sources}, path)  # what failed left nothing in the way
+    found = report.read_report(spark, path)
+    assert sorted(found) == ["claims", "sources"] and found["claims"].schema.simpleString() == claims.schema.simpleString()
+    assert sorted(map(tuple, found["claims"].collect())) == sorted(map(tuple, claims.collect())) and found["sources"].count() == 3
+    with pytest.raises(FileExistsError):
+        report.write_report({"claims": claims}, path)
+
 
 
 def test_final_stage_falls_back_to_the_draft(spark):
@@ -262,3 +279,28 @@ def test_stage_keeps_rows_and_names_its_folder(spark):
     rows = session.stage(spark.range(10).withColumn("a", F.array(F.struct("id"))))
     assert rows.count() == 10 and Path(spark.sparkContext.getCheckpointDir()).name in rows.inputFiles()[0]
     assert schemas.FILES.startswith("path")
+
+
+def test_report_parts_are_bounded_and_in_order(spark):
+    """A run of thousands of entries comes in parts of a fixed size; no part is larger, none is lost."""
+    many = spark.range(2500).select(F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("run_id"), (2500 - F.col("id")).alias("at"), F.concat(F.lit("w"), "id").alias("warning"))
+    few = spark.createDataFrame([("small", "completed"), ("empty", None)], "run_id string, status string")
+    found = assembly.parts({"warnings": (many, ["at"], "warning"), "run": (few, [], "status")}, 300).collect()
+    sizes = {(r.run_id, r.part, r.chunk): r.entries for r in found}
+    assert sizes == {**{("large", "warnings", k): 300 for k in range(6)}, ("large", "warnings", 6): 200, ("small", "warnings", 0): 300, ("small", "warnings", 1): 200,
+                     ("small", "run", 0): 1, ("empty", "run", 0): 1}
+    first = next(r for r in found if (r.run_id, r.part, r.chunk) == ("large", "warnings", 0))
+    assert first.labels[:2] == ["w2499", "w2498"] and json.loads(first.items[0]) == {"at": 1, "warning": "w2499"}
+
+
+def test_long_notes_go_on_in_parts(spark):
+    summary = spark.createDataFrame([("p", "margins", "partial", 2), ("p", "debt_funding", "not_found", 1), ("p", "cash_collection", "mentioned", 3), ("p", "revenue_level", "review_needed", 0)],
+                                    "pack_id string, topic string, status string, claims int")
+    missing = spark.createDataFrame([("p", "margins", str(k), (1, k, float(k), str(k)), float(k)) for k in range(7)],
+                                    "pack_id string, topic string, figure string, place struct<n:int,u:int,v:double,f:string>, size double")
+    found = {(r.topic, r.part): r.note for r in coverage.notes(summary, missing, 3).collect()}
+    assert "".join(found["margins", k] for k in range(3)) == (
+        "Figures to review in uncited passages: 0, 1, 2, 3, 4, 5, 6. These numeric tokens did not match accepted claim text; compare their meaning and units.")
+    assert found["debt_funding", 0].endswith(" Brief wording did match, so inspect its evidence separately.")
+    assert found["cash_collection", 0].startswith("Wording matched in source text and the brief.") and found["revenue_level", 0].startswith("Source wording matched")
+    assert len(found) == 6
