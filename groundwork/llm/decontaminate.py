@@ -5,7 +5,8 @@ windows have equal ones: so two texts that share a span of `WINDOW` words share
 only windows whose fingerprint the test items have can match. A Bloom filter of the test
 fingerprints, of a size fixed beforehand, drops nearly all document windows where they are read
 (a full filter only drops fewer); the rest are joined on fingerprint and a digest of the whole
-window, and the windows that match extend to the spans of hit words.
+window, so every window stands for itself: prints are not thinned to one a minimum, and no hit is
+extended from one. Windows that match and overlap are one span of hit words.
 
 An item of fewer words is one window of its own size; each such size that occurs is looked for with
 k-grams to fit, so the guarantee holds for it too. The test items and the hits are tables: no
@@ -122,10 +123,11 @@ def hits(docs, items):
     sizes = windows.groupBy("size").agg(F.countDistinct("fingerprint").alias("n")).collect()  # WINDOW rows at most
     filters = {row["size"]: bloom(windows.filter(F.col("size") == row["size"]).select("fingerprint").distinct(), row["n"]) for row in sizes}
     rows = shared.stage(candidate_windows(docs, filters))
-    known = shared.stage(windows.groupBy("fingerprint", "window", "size").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    matched = rows.select("rid", F.explode("windows").alias("w")).select("rid", "w.*").join(known, ["fingerprint", "window", "size"])
-    found = matched.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"),
-                                       F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # Which windows occur and which items hold them are two joins: a window of very many items is no list, and a hot row of either side can be split.
+    key = ["fingerprint", "window", "size"]
+    matched = shared.stage(rows.select("rid", F.explode("windows").alias("w")).select("rid", "w.*").join(shared.stage(windows.select(*key).distinct()), key))
+    of_items = matched.select("rid", *key).join(windows, key).select("rid", "item_id").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    found = matched.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans")).join(of_items, "rid")
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
 
     def covered(acc, span):

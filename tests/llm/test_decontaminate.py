@@ -59,3 +59,13 @@ def test_empty_tables(spark):
     none = items_table(spark, [])
     assert d.hits(documents(spark, []), none).count() == 0
     assert [(r["n_words"], r["n_hit"], r["items"]) for r in d.hits(documents(spark, [(1, "a b")]), none).collect()] == [(2, 0, [])]
+
+
+def test_a_window_of_very_many_items(spark):
+    """A prompt line that hundreds of items share, in hundreds of documents: each document has all of them."""
+    line = " ".join(f"prompt{k}" for k in range(12))
+    items = spark.createDataFrame([(f"i{k:03d}", f"{line} own question {k} of many and so on") for k in range(300)], "item_id string, text string")
+    docs = documents(spark, [(k, f"start {k} {line} end") for k in range(200)] + [(900, "clean words only")])
+    got = {r["doc_id"]: (r["n_hit"], len(r["items"]), r["items"][:2]) for r in d.hits(docs, items).collect()}
+    assert got.pop(900) == (0, 0, [])
+    assert set(map(str, got.values())) == {str((12, 300, ["i000", "i001"]))}
