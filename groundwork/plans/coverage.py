@@ -37,6 +37,48 @@ def topic_cues(spark, sf):
     return corpus.orders(spark, sf).select("k", joined(topics(text), ",").alias("topics"))
 
 
+#: Parts of sentences about a metric, chosen by columns of a line item: every metric meets every verb, amount, frame and neighbour.
+METRICS = (("Revenue", "revenue"), ("turnover", "revenue"), ("Net **sales**", "revenue"), ("EBITDA", "profit"), ("Net profit", "profit"), ("Ferry count", None))
+VERBS = (("was", False), ("reached", False), ("rose", True), ("fell", True), ("grew", True))
+AMOUNTS = (("Rs %d crore", True, False), ("%d%%", False, True), ("₹%d lakh", True, False), ("by %d percent", False, True))
+TAILS = (("", False, False), (" to Rs 77 crore", True, False), (", up 9%", False, True), (" on Monday", False, False))
+FRAMES = ("", "Management expects this: ", "As the board forecast, ")
+NEIGHBOURS = ((". Debtor days shrank.", "cash_collection"), ("; the MARGINS held", "margins"), (". A marginal shareholding", "ownership_pledges"), (". No legally binding riskier finery", None), (" at dawn", None))
+
+
+def _sentence_sql():
+    """Topics of such a sentence from its parts: money states a level unless growth is stated of it, growth needs a sum or a share beside its word."""
+    def picked(parts, column, *fields):
+        rows = ", ".join(f"({k}, " + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v).upper() for v in (f(part) for f in fields)) + ")" for k, part in enumerate(parts))
+        return f"(VALUES {rows})", f"{column} % {len(parts)}"
+    m, mk = picked(METRICS, "l_partkey", lambda x: x[1])
+    v, vk = picked(VERBS, "l_suppkey", lambda x: x[1])
+    a, ak = picked(AMOUNTS, "l_linenumber", lambda x: x[1], lambda x: x[2])
+    t, tk = picked(TAILS, "CAST(l_quantity AS BIGINT)", lambda x: x[1], lambda x: x[2])
+    n, nk = picked(NEIGHBOURS, "l_orderkey", lambda x: x[1])
+    return f"""
+WITH c AS (SELECT metric, grows, money, share, to_money, up, beside, (CAST(l_quantity AS BIGINT) + l_linenumber) % {len(FRAMES)} > 0 AS forecast FROM lineitem
+  JOIN {m} m(i, metric) ON m.i = {mk} JOIN {v} v(i, grows) ON v.i = {vk} JOIN {a} a(i, money, share) ON a.i = {ak} JOIN {t} t(i, to_money, up) ON t.i = {tk} JOIN {n} n(i, beside) ON n.i = {nk}),
+f AS (SELECT metric || '_level' AS topic FROM c WHERE metric IS NOT NULL AND NOT forecast AND ((money OR to_money) AND (NOT (grows OR up) OR to_money OR (money AND NOT grows)))
+  UNION ALL SELECT metric || '_growth' FROM c WHERE metric IS NOT NULL AND NOT forecast AND (grows OR up) AND (money OR share OR to_money OR up)
+  UNION ALL SELECT beside FROM c WHERE beside IS NOT NULL
+  UNION ALL SELECT 'guidance_outlook' FROM c WHERE forecast)
+SELECT topic, count(*) AS sentences FROM f GROUP BY topic"""
+
+
+@query("topic_sentences", _sentence_sql())
+def topic_sentences(spark, sf):
+    """Topics of sentences put together from parts, one per line item; the SQL has the rules of the parts, not the wordings."""
+    def picked(parts, column, field=lambda x: x[0]):
+        return F.get(F.array(*[F.lit(field(x)) for x in parts]), (column % len(parts)).cast("int"))
+    quantity = F.col("l_quantity").cast("bigint")
+    amount = F.replace(F.replace(picked(AMOUNTS, F.col("l_linenumber")), F.lit("%d"), (quantity + 5).cast("string")), F.lit("%%"), F.lit("%"))
+    text = F.concat(picked(FRAMES, quantity + F.col("l_linenumber"), lambda x: x), picked(METRICS, F.col("l_partkey")), F.lit(" "), picked(VERBS, F.col("l_suppkey")),
+                    F.lit(" "), amount, picked(TAILS, quantity), picked(NEIGHBOURS, F.col("l_orderkey")))
+    rows = spread(read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return rows.select(F.explode(topics(text)).alias("topic")).groupBy("topic").agg(F.count("*").alias("sentences"))
+
+
 @query("document_figures", r"""
 WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\*\*|`', '', 'g'),
     '\b(?:(?:(?:[Qq]\s*[1-4]|[Hh]\s*[12])\s*)?[Ff][Yy]\s*\d{2,4}(?:\s*[-–]\s*\d{2,4})?|[Qq]\s*[1-4]|[Hh]\s*[12])\b', ' ', 'g'),
