@@ -208,4 +208,28 @@ def op13_spelling_variants(spark, sf_dir):
 
 
 QUERIES = {"op13_spelling_variants": op13_spelling_variants}
-ORACLES = {}
+
+#: The 64 letters beyond ASCII, and a single byte for each, so that edits of bytes are edits of code points.
+_LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+_BYTES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~"
+
+ORACLES = {"op13_spelling_variants": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, '') AS id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+') AS runs FROM documents),
+r AS (SELECT id, run, count(*) AS n FROM (SELECT id, unnest(runs) AS run FROM d) WHERE length(run) >= {MIN_LENGTH} GROUP BY ALL),
+-- crc32: a table of 256 remainders, then a step for each byte.
+t AS MATERIALIZED (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+b AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + ord(c)::BIGINT // 64, 128 + ord(c)::BIGINT % 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295) AS h FROM b, t),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+  SELECT CASE WHEN h % {NOISE} = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+m AS MATERIALIZED (SELECT word, n, length(word) AS len, translate(word, '{_LETTERS}', '{_BYTES}') AS s FROM v),
+p AS (SELECT a.word, b.word AS other, b.n FROM m a JOIN m b ON b.len = a.len WHERE a.word <> b.word AND levenshtein(a.s, b.s) = 1
+  UNION ALL SELECT a.word, b.word, b.n FROM m a JOIN m b ON b.len = a.len + 1 WHERE levenshtein(a.s, b.s) = 1
+  UNION ALL SELECT b.word, a.word, a.n FROM m a JOIN m b ON b.len = a.len + 1 WHERE levenshtein(a.s, b.s) = 1),
+g AS (SELECT word, count(*) AS n_near, first(struct_pack(other := other, n := n) ORDER BY n DESC, other) AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= {RATIO} * v.n THEN best.other END AS form, CASE WHEN best.n >= {RATIO} * v.n THEN best.n END AS form_n FROM v LEFT JOIN g ON g.word = v.word),
+w AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT w.word, w.further, f.form FROM w JOIN f ON f.word = w.further)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word AND w.further IS NULL
+"""}
