@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash prefixes of a fixed depth in place of an LSH forest, then exact verification.
 
 1. Texts with the same set of word 5-grams are one class; everything after works on classes.
-2. Each class has a signature of `TREES` runs of MinHash values. Sorted, the runs of one tree form a
-   prefix trie. From the deepest level up, prefixes are shortened until the recall expected at
-   the threshold reaches the target (`stop_depth`); classes below the same node of that depth in
-   any tree are candidates. A node holds all longer matches too, so one grouping serves all depths.
+2. Each class has a signature of `TREES` runs of MinHash values. How long a prefix may be at the target
+   recall follows from the threshold and the number of trees alone (`stop_depth`), so every run is cut
+   there beforehand: classes with an equal prefix in any tree are candidates. Nothing is sorted, and no prefix
+   is shortened from the data. A group of equal prefixes holds all longer matches too.
 3. Nodes are not opened into pairs. Each class is tied to the least class of its node, and the connected
    components of these ties are verified exactly, in blocks: a component of n classes is cut into
    blocks of bounded size, each pair of blocks is a cell of its own, and a cell counts common shingles of
@@ -108,7 +108,7 @@ def signatures(docs, trees=TREES, depth=None):
 def candidate_components(classes):
     """(cid, part): classes that share a trie node, directly or over others, have one part."""
     nodes = classes.select("cid", F.explode("keys").alias("key"))
-    heads = nodes.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    heads = shared.stage(nodes.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))  # a hot node can then be split
     ties = nodes.join(heads, "key").filter("cid != head").select(F.col("cid").alias("a"), F.col("head").alias("b"))
     return components(ties.distinct()).select(F.col("node").alias("cid"), F.col("label").alias("part"))
 
