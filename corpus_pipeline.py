@@ -48,7 +48,7 @@ STAGES = [
     ("mixing sources to target weights", target_weights),
 ]
 
-#: The learned rules, the groups and the cuts cannot be stated in SQL; tests compare with brute force.
+#: The learned rules, the groups and the cuts cannot be stated in SQL. The operators have brute-force tests of their own; the chain is compared with its stages only.
 ORACLE_SQL = None
 
 
