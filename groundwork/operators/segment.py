@@ -118,7 +118,8 @@ def _lists(rows, values):
 @F.arrow_udf(_OUTLINE)
 def outline(bodies: pa.Array) -> pa.Array:
     """(title, units) of a document body, as one struct column."""
-    titles, cut = zip(*(("", None) if body is None else _outline_of(body) for body in bodies.to_pylist()))
+    outlines = [("", None) if body is None else _outline_of(body) for body in bodies.to_pylist()]
+    titles, cut = list(zip(*outlines)) or ((), ())
     columns = list(zip(*(unit for units in cut if units for unit in units))) or [()] * 4
     kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
     units = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text", "quote", "section", "is_table"])
