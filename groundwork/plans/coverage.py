@@ -139,8 +139,7 @@ def inputs(spark, sf):
     """(packs, units, claims): all filings, and claims accepted for shipped orders."""
     docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt")))
     units = corpus.filing_units(docs, keep=KEEP)
-    shipped = docs.select(F.col("k").alias("claim_id"), (F.col("s") == "F").alias("accepted"))
-    claims = corpus.claims(docs).join(shipped, "claim_id")
+    claims = corpus.claims(docs, also=((F.col("s") == "F").alias("accepted"),))
     return docs.select("pack_id").distinct(), units, claims
 
 
@@ -198,8 +197,9 @@ def coverage_notes(spark, sf):
     """What to say about every topic of a pack, the list of missing figures in it, and what the check of the pack covered."""
     docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct", "debt")))
     units = corpus.filing_units(docs, keep=KEEP)
-    claims = corpus.claims(docs).join(docs.select(F.col("k").alias("claim_id"), (F.col("s") == "F").alias("accepted")), "claim_id")
-    summary = coverage.topic_summary(docs.select("pack_id").distinct(), units, claims)
-    lines = coverage.notes(summary, coverage.missing_figures(units, claims)).groupBy("pack_id", "topic").agg(F.array_sort(F.collect_list(F.struct("part", "note"))).alias("n"))
+    claims = corpus.claims(docs, also=((F.col("s") == "F").alias("accepted"),))
+    both = coverage.compared(units, claims)
+    summary = coverage.topic_summary(docs.select("pack_id").distinct(), units, claims, both)
+    lines = coverage.notes(summary, coverage.missing_figures(units, claims, both)).groupBy("pack_id", "topic").agg(F.array_sort(F.collect_list(F.struct("part", "note"))).alias("n"))
     lines = lines.select("pack_id", "topic", F.array_join("n.note", "").alias("note"))
     return lines.unionByName(coverage.pack_notices(docs).select("pack_id", F.lit("all").alias("topic"), F.col("notice").alias("note")))
