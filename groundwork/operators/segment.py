@@ -7,7 +7,6 @@ as array columns, since array functions would be interpreted element by element.
 """
 
 import re
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -32,7 +31,9 @@ _GAP = re.compile(
 
 
 def _sentences(paragraph):
-    return _GAP.split(_NO_GAP.sub(r"\1 ", paragraph))
+    if any(a in paragraph for a in fixed.ABBREVIATIONS):
+        paragraph = _NO_GAP.sub(r"\1 ", paragraph)
+    return _GAP.split(paragraph)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -52,40 +53,47 @@ def classified(body):
 
 
 def _class(line):
-    """``line_class`` of one line."""
-    if not line:
-        return ""
-    if line[0] == "#" and _HEADING.match(line):
-        return "h"
-    return "t" if line[0] == "|" else "b" if _BULLET.match(line) else "p"
+    """``line_class`` of one line that is not empty."""
+    first = line[0]
+    if first == "|":
+        return "t"
+    if first == "#":
+        return "h" if _HEADING.match(line) else "p"
+    # No letter begins a bullet, and most lines begin with one.
+    return "p" if first.isalpha() or not _BULLET.match(line) else "b"
 
 
 def _blocks(body):
     """Runs of table or paragraph lines, single headings and bullets, in order, as (class, lines)."""
-    out = []
-    for cls, run in groupby((line.strip(fixed.SPACE_CHARS) for line in body.splitlines()), _class):
-        if cls in ("h", "b"):
-            out += [(cls, [line]) for line in run]
-        elif cls:
-            out.append((cls, list(run)))
+    out, run, before = [], None, ""
+    for line in body.splitlines():
+        line = line.strip(fixed.SPACE_CHARS)
+        if not line:
+            before = ""
+            continue
+        cls = _class(line)
+        if cls == before and cls in "tp":
+            run.append(line)
+        else:
+            run = [line]
+            out.append((cls, run))
+        before = cls
     return out
 
 
-def _table_units(rows, caption, section):
-    """A unit per table row; its quote repeats the caption and, above a rule, the header."""
-    ruled = len(rows) > 1 and _RULE.match(rows[1])
-    head = "".join(f"{line}\n" for line in ([caption] if caption else []) + (rows[:2] if ruled else []))
-    return [(row, head + row, section, True) for row in (rows[2:] if ruled else rows) if not _RULE.match(row)]
+def _is_rule(line):
+    return "---" in line and _RULE.match(line) is not None
 
 
-def _outline_of(body):
-    """(title, units) of one body: each unit stands under the latest heading that is not the title.
+def _outline_into(body, texts, quotes, sections, tables):
+    """Append the units of a body to the four columns and return its title.
 
-    A bold line right before a table is its caption and no unit of its own.
+    Each unit stands under the latest heading that is not the title. A unit is made per table row; its
+    quote repeats the caption and, above a rule, the header. A bold line right before a table is its caption and no unit of its own.
     """
     blocks = _blocks(body)
-    title, section, caption, units = None, "", "", []
-    for (cls, rows), (following, _) in zip(blocks, [*blocks[1:], ("", ())]):
+    title, section, caption, last = None, "", "", len(blocks) - 1
+    for at, (cls, rows) in enumerate(blocks):
         first = rows[0]
         if cls == "h":
             marks, text = _HEADING.match(first).groups()
@@ -93,37 +101,39 @@ def _outline_of(body):
                 title = text
             else:
                 section = text
-        elif cls == "t":
-            units += _table_units(rows, caption, section)
-        elif cls == "b":
-            units.append((first, first, section, False))
-        elif following == "t" and len(rows) == 1 and first.startswith("**") and first.endswith("**"):
+            caption = ""
+            continue
+        if cls == "t":
+            head = f"{caption}\n" if caption else ""
+            if len(rows) > 1 and _is_rule(rows[1]):
+                head, rows = f"{head}{first}\n{rows[1]}\n", rows[2:]
+            found = [row for row in rows if not _is_rule(row)]
+            quotes += [head + row for row in found] if head else found
+        elif cls == "p" and len(rows) == 1 and first.startswith("**") and first.endswith("**") and at < last and blocks[at + 1][0] == "t":
             caption = first
             continue
         else:
-            units += [(s, s, section, False) for s in _sentences(" ".join(rows))]
+            found = rows if cls == "b" else _sentences(" ".join(rows))
+            quotes += found
+        texts += found
+        sections += [section] * len(found)
+        tables += [cls == "t"] * len(found)
         caption = ""
-    return title or "", units
-
-
-def _lists(rows, values):
-    """A list array whose rows have the lengths of ``rows`` (None: NULL) over flat ``values``."""
-    offsets, at = [], 0
-    for row in rows:
-        offsets.append(None if row is None else at)
-        at += len(row or ())
-    return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
+    return title or ""
 
 
 @F.arrow_udf(_OUTLINE)
 def outline(bodies: pa.Array) -> pa.Array:
     """(title, units) of a document body, as one struct column."""
-    outlines = [("", None) if body is None else _outline_of(body) for body in bodies.to_pylist()]
-    titles, cut = list(zip(*outlines)) or ((), ())
-    columns = list(zip(*(unit for units in cut if units for unit in units))) or [()] * 4
+    titles, offsets, columns = [], [], ([], [], [], [])
+    for body in bodies.to_pylist():
+        # A NULL offset makes a NULL list.
+        offsets.append(None if body is None else len(columns[0]))
+        titles.append("" if body is None else _outline_into(body, *columns))
     kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
     units = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text", "quote", "section", "is_table"])
-    return pa.StructArray.from_arrays([pa.array(titles, pa.string()), _lists(cut, units)], ["title", "units"])
+    lists = pa.ListArray.from_arrays(pa.array([*offsets, len(columns[0])], pa.int32()), units)
+    return pa.StructArray.from_arrays([pa.array(titles, pa.string()), lists], ["title", "units"])
 
 
 def _window(near, at, title):
@@ -170,11 +180,13 @@ def units(documents, keep=("pack_id", "sid"), windows=False):
         passages = F.arrays_zip("passages", "_windows")
     rows = rows.select(*keep, F.posexplode(passages).alias("_at", "_u"))
     number = (F.col("_at") + 1).cast("int")
+    # Two digits at least; a formatter would cost more than cutting the text.
+    uid = F.concat("sid", F.when(number < 10, ".u0").otherwise(".u"), number.cast("string"))
     unit = "_u.passages" if windows else "_u"
     columns = [F.col(f"{unit}.{c}").alias(c) for c in ("text", "quote", "section", "is_table")]
     if windows:
         columns.append(F.col("_u._windows").alias("window"))
-    return rows.select(*keep, number.alias("unit_no"), F.format_string("%s.u%02d", F.col("sid"), number).alias("uid"), *columns)
+    return rows.select(*keep, number.alias("unit_no"), uid.alias("uid"), *columns)
 
 
 _CELL_RULE = re.compile(r":?-{3,}:?\Z")

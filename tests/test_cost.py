@@ -56,3 +56,10 @@ def test_the_gate_of_leads_passes_every_lead(spark):
     got = rows.select("quote", numbers.read_passage(F.col("quote"), F.col("title"), F.col("d"))["joint"].contains("l").alias("lead"),
                       F.col("quote").rlike(numbers._LEADS).alias("want")).collect()
     assert [r.quote for r in got if r.lead != r.want] == [] and sum(r.want for r in got) >= len(ends)
+
+
+def test_counting_hidden_content_interprets_no_array_function(spark):
+    from groundwork.functions.text import hidden_counts
+    rows = spark.createDataFrame([("a<!-- b -->​c",), ("plain",), (None,)], "t string").select(hidden_counts(F.col("t")).alias("r"))
+    assert "lambda" not in plan(rows)
+    assert [r.r and [tuple(x) for x in r.r] for r in rows.collect()] == [[("html_comment", 10), ("unicode_format", 1)], [], None]
