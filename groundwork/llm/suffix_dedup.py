@@ -20,8 +20,11 @@ the corpus is out of reach (see README), so suffixes are sampled, sorted and mer
    and matched nothing inside are the remaining suffixes: each is its offset and a digest of its bytes, grouped
    with the same offsets of that gram's segments, at most one row a window.
 
+Several lengths can be asked for at once: windows of the shortest choose the sampled places, and segments
+reach as far as the longest needs, so one sample and one merge find the matches of every length.
+
 Everything is judged on the texts as they come. Texts are keyed by a 128-bit hash: equal texts get equal cuts.
-Null is empty; texts shorter than SPAN lose bytes to nothing. Each row gives one row. Rows whose text
+Names are 64 bits beside the 64 of their gram. Null is empty; texts shorter than SPAN lose bytes to nothing. Each row gives one row. Rows whose text
 repeats count as further places. `cut` keeps all columns of its input.
 """
 
@@ -38,6 +41,8 @@ from groundwork.llm.words import Powers, mix, raw
 
 SPAN = 400
 GRAM = 32
+#: Shortest repeated string that the query counts beside those of `SPAN`: fifty words of four letters and a space, as the pipeline's stage takes it.
+PASSAGE = 250
 #: Segments of a gram that one task may hold, and the size of the ranges of larger grams, in bytes.
 RANGE_BYTES = 16 << 20
 
@@ -77,8 +82,12 @@ def _texts(docs):
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
 
 
-def _segments(docs, span, gram):
-    """Segments of all texts: gram, name, left (bytes before the sampled place), n windows, first byte, and the text's key."""
+def _segments(docs, spans, gram):
+    """Segments of all texts: gram, name, left (bytes before the sampled place), n windows, size in bytes, first byte, and the text's key.
+
+    A segment holds its windows of the shortest span and whatever of the longest begins with one of them.
+    """
+    span, reach = min(spans), max(spans)
     texts = _texts(docs).filter(F.octet_length("text") >= span)
 
     def segments_of(batches):
@@ -90,8 +99,10 @@ def _segments(docs, span, gram):
                 text = data[offsets[row]:offsets[row + 1]]
                 whole = text.tobytes()
                 for value, place, first, last in sample(text, span, gram):
-                    name = hashlib.blake2b(whole[first:last + span], digest_size=16, key=(place - first).to_bytes(4, "little")).digest()
-                    rows.append((int(value.astype(np.int64)), name, place - first, last - first + 1, first, k1[row], k2[row]))
+                    body = whole[first:last + reach]
+                    digest = hashlib.blake2b(body, digest_size=8, key=(place - first).to_bytes(4, "little") + (last - first).to_bytes(4, "little")).digest()
+                    name = int.from_bytes(digest, "little", signed=True)
+                    rows.append((int(value.astype(np.int64)), name, place - first, last - first + 1, len(body), first, k1[row], k2[row]))
                     if len(rows) > 1 << 16:
                         yield _batch(rows, _PLACE)
                         rows = []
@@ -99,9 +110,9 @@ def _segments(docs, span, gram):
     return texts.mapInArrow(segments_of, _ddl(_PLACE))
 
 
-_PLACE = {"gram": pa.int64(), "name": pa.binary(), "left": pa.int32(), "n": pa.int32(), "first": pa.int32(), "k1": pa.int64(), "k2": pa.int64()}
+_PLACE = {"gram": pa.int64(), "name": pa.int64(), "left": pa.int32(), "n": pa.int32(), "size": pa.int32(), "first": pa.int32(), "k1": pa.int64(), "k2": pa.int64()}
 _BODY = {**{k: _PLACE[k] for k in ("gram", "name", "left", "n")}, "twice": pa.bool_(), "k1": pa.int64(), "k2": pa.int64(), "place": pa.int64(), "body": pa.binary()}
-_PIECE = {"k1": pa.int64(), "k2": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+_PIECE = {"k1": pa.int64(), "k2": pa.int64(), "span": pa.int32(), "start": pa.int64(), "end": pa.int64()}
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
 
 
@@ -113,9 +124,9 @@ def _batch(rows, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], list(kinds))
 
 
-def _bodies(docs, wanted, span):
-    """The bytes of the wanted segments (gram, name, left, n, twice, at), each read from the one place `at`."""
-    lists = wanted.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("gram", "name", "left", "n", "twice", F.col("at.first").alias("first"))).alias("places"))  # as many as the text has
+def _bodies(docs, wanted):
+    """The bytes of the wanted segments (gram, name, left, n, size, twice), each read from the one place k1, k2, first."""
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "name", "left", "n", "size", "twice", "first")).alias("places"))  # as many as the text has
     rows = _texts(docs).join(shared.stage(lists), ["k1", "k2"])
 
     def bodies_of(batches):
@@ -128,7 +139,7 @@ def _bodies(docs, wanted, span):
                     continue
                 before, text = key, text.as_py().encode()
                 for p in places.as_py():
-                    body = text[p["first"]:p["first"] + p["n"] - 1 + span]
+                    body = text[p["first"]:p["first"] + p["size"]]
                     out.append((p["gram"], p["name"], p["left"], p["n"], p["twice"], *key, p["first"] + p["left"], body))
                     held += len(body)
                 if held > 1 << 23:
@@ -147,21 +158,23 @@ def same_start(a, b):
 
 
 class Segment:
-    """One segment: what follows the sampled place, what precedes it backwards, and the offsets of its windows."""
+    """One segment: what follows the sampled place, what precedes it backwards, the offsets of its windows, and those found elsewhere by span."""
 
     __slots__ = ("ahead", "behind", "low", "high", "same")
 
-    def __init__(self, body, left, n):
-        self.ahead, self.behind, self.low, self.high, self.same = body[left:], body[:left][::-1], left - n + 1, left, []
+    def __init__(self, body, left, n, spans):
+        self.ahead, self.behind, self.low, self.high, self.same = body[left:], body[:left][::-1], left - n + 1, left, {span: [] for span in spans}
 
-    def meet(self, other, ahead, behind, span):
-        low, high = max(span - ahead, self.low, other.low), min(behind, self.high, other.high)
-        if low <= high:
-            self.same.append((low, high))
-            other.same.append((low, high))
+    def meet(self, other, ahead, behind):
+        first, high = max(self.low, other.low), min(behind, self.high, other.high)
+        for span, found in self.same.items():
+            low = max(span - ahead, first)
+            if low <= high:
+                found.append((low, high))
+                other.same[span].append((low, high))
 
 
-def merge_neighbours(segments, span, backwards=False):
+def merge_neighbours(segments, backwards=False):
     """Give each of the segments, sorted by one side, the offsets at which another has the same window.
 
     Groups of neighbours are merged from the longest common side down. Members of the smaller group look up
@@ -184,14 +197,14 @@ def merge_neighbours(segments, span, backwards=False):
             at = bisect_left(held, (side, own))
             for other_side, other in held[max(0, at - 1):at + 1]:
                 common = same_start(side, other_side)
-                segments[own].meet(segments[other], *((common, reach[k]) if backwards else (reach[k], common)), span)
+                segments[own].meet(segments[other], *((common, reach[k]) if backwards else (reach[k], common)))
         for entry in members.pop(small):
             insort(held, entry)
         group[small] = large
 
 
-def _whole_grams(bodies, ranges, span):
-    """(k1, k2, start, end) of the bytes of matching windows, for grams that one task can hold."""
+def _whole_grams(bodies, ranges, spans):
+    """(k1, k2, span, start, end) of the bytes of matching windows, for grams that one task can hold."""
     rows = bodies.repartition(ranges, "gram").sortWithinPartitions("gram")
 
     def found(batches):
@@ -200,11 +213,11 @@ def _whole_grams(bodies, ranges, span):
         out = []
         for _, held in groupby(rows, lambda r: r[0]):
             unique = {row[0]: row for _, row in held}
-            made = sorted(((Segment(row[-1], row[1], row[2]), row) for row in unique.values()), key=lambda x: x[0].ahead)
-            merge_neighbours([segment for segment, _ in made], span)
+            made = sorted(((Segment(row[-1], row[1], row[2], spans), row) for row in unique.values()), key=lambda x: x[0].ahead)
+            merge_neighbours([segment for segment, _ in made])
             for segment, (_, _, _, twice, k1, k2, place, _) in made:
                 if not twice:
-                    out += [(k1, k2, place - high, place - low + span) for low, high in _union(segment.same)]
+                    out += [(k1, k2, span, place - high, place - low + span) for span, same in segment.same.items() for low, high in _union(same)]
             if len(out) > 1 << 16:
                 yield _batch(out, _PIECE)
                 out = []
@@ -240,23 +253,23 @@ def _compared(bodies, span, ranges, backwards):
         while at is not None:
             following = next(grams, None)
             gram, held = at
-            made = [Segment(r["body"], r["left"], r["n"]) for r in held]
-            merge_neighbours(made, span, backwards)
+            made = [Segment(r["body"], r["left"], r["n"], [span]) for r in held]
+            merge_neighbours(made, backwards)
             ends = [made[0]] * first + [made[-1]] * (following is None)
             out = []
             for r, s in zip(held, made):
                 reach = [same_start(s.behind, e.behind) if backwards else same_start(s.ahead, e.ahead) for e in ends]
-                out.append((gram, r["name"], max(reach, default=0) if ends else -1, [{"low": low, "high": high} for low, high in _union(s.same)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32(), same))], ["gram", "name", "open", "same"])
+                out.append((gram, r["name"], max(reach, default=0) if ends else -1, [{"low": low, "high": high} for low, high in _union(s.same[span])]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), same))], ["gram", "name", "open", "same"])
             first, at = False, following
 
     same = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-    return rows.select("gram", "name", "left", "n", "body").mapInArrow(compared, "gram long, name binary, open int, same array<struct<low: int, high: int>>")
+    return rows.select("gram", "name", "left", "n", "body").mapInArrow(compared, "gram long, name long, open int, same array<struct<low: int, high: int>>")
 
 
 def _remaining(rows, span):
     """(digest of window and offset, gram, name, offset) of the asked offsets that a segment can repeat at."""
-    kinds = {"window": pa.binary(), "gram": pa.int64(), "name": pa.binary(), "offset": pa.int32(), "times": pa.int32()}
+    kinds = {"window": pa.binary(), "gram": pa.int64(), "name": pa.int64(), "offset": pa.int32(), "times": pa.int32()}
 
     def windows_of(batches):
         for batch in batches:
@@ -271,8 +284,7 @@ def _remaining(rows, span):
 
 
 def _large_grams(bodies, span, ranges):
-    """(k1, k2, start, end) of the bytes of matching windows, for grams too large for one task."""
-    bodies = shared.stage(bodies.groupBy("gram", "name").agg(*[F.first(c).alias(c) for c in _BODY if c not in ("gram", "name")]))
+    """(k1, k2, span, start, end) of the bytes of matching windows of one span, for grams too large for one task."""
     ahead = _compared(bodies, span, ranges, False).select("gram", "name", F.col("open").alias("ahead"), F.col("same").alias("same1"))
     behind = _compared(bodies, span, ranges, True).select("gram", "name", F.col("open").alias("behind"), F.col("same").alias("same2"))
     known = bodies.drop("body").join(ahead, ["gram", "name"]).join(behind, ["gram", "name"])
@@ -290,30 +302,37 @@ def _large_grams(bodies, span, ranges):
     merged = windows.join(twice, "window").select("gram", "name", F.col("offset").alias("low"), F.col("offset").alias("high"))
     merged = merged.join(known.filter("not twice").select("gram", "name", "k1", "k2", "place"), ["gram", "name"]).select("k1", "k2", "place", "low", "high")
     matched = known.filter("not twice").select("k1", "k2", "place", F.explode("same").alias("s")).select("k1", "k2", "place", "s.low", "s.high")
-    return matched.union(merged).select("k1", "k2", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + span).alias("end"))
+    return matched.union(merged).select("k1", "k2", F.lit(span).alias("span"), (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + span).alias("end"))
 
 
-def repeated(docs, span=SPAN, gram=GRAM):
-    """(k1, k2, runs): the maximal runs (start, end) of bytes that repeated strings cover, for texts that have any."""
-    places = shared.stage(_segments(docs, span, gram))
-    again = shared.stage(places.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("gram"))
-    places = shared.stage(places.join(again, "gram"))
-    at = F.min(F.struct("k1", "k2", "first")).alias("at")
-    named = shared.stage(places.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.first("left").alias("left"), F.first("n").alias("n"), at))
-    full = places.join(named.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("k1", "k2", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") - 1 + span).cast("long").alias("end"))
+def repeated(docs, spans=(SPAN,), gram=GRAM):
+    """(k1, k2, runs of each span): the maximal runs (start, end) of bytes that repeated strings of that length cover, for texts that have any."""
+    places = shared.stage(_segments(docs, spans, gram))
+    named = shared.stage(places.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c")))
 
     # Grams with a segment that occurs once only and another segment are compared byte by byte.
-    sizes = named.groupBy("gram").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("m"), F.sum(F.col("n") - 1 + span).alias("size")).filter("least = 1 and m > 1")
+    most = min(spans) - gram + max(spans)  # bytes of the longest segment
+    sizes = named.groupBy("gram").agg(F.min("c").alias("least"), (F.count(F.lit(1)) * most).alias("size")).filter(F.expr("least = 1") & (F.col("size") > most))
     sizes = shared.stage(sizes.select("gram", "size", (F.col("size") > RANGE_BYTES).alias("large")))
     total = {row["large"]: -(-row["n"] // RANGE_BYTES) for row in sizes.groupBy("large").agg(F.sum("size").alias("n")).collect()}
-    wanted = named.join(sizes.select("gram", "large"), "gram").withColumn("twice", F.col("c") > 1)
-    parts = [full]
+    named = named.join(sizes.select("gram", "large"), "gram", "left").filter("c > 1 or large is not null")
+    places = shared.stage(places.join(named, ["gram", "name"]))
+
+    found = F.array(*[F.struct(F.lit(span).alias("span"), F.least(F.col("n") - 1 + span, "size").alias("long")) for span in spans])
+    full = places.filter("c > 1").select("k1", "k2", "first", F.explode(found).alias("s")).filter("s.long >= s.span")
+    full = full.select("k1", "k2", "s.span", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("s.long")).cast("long").alias("end"))
+    # One row gives all first values, so they are one place's.
+    wanted = places.filter("large is not null").groupBy("gram", "name").agg(*[F.first(c).alias(c) for c in (*list(_PLACE)[2:], "c", "large")]).withColumn("twice", F.col("c") > 1)
     for large, ranges in sorted(total.items()):
-        bodies = _bodies(docs, wanted.filter(F.col("large") == large), span)
-        parts.append(_large_grams(bodies, span, ranges) if large else _whole_grams(bodies, ranges, span))
-    for part in parts[1:]:
-        full = full.union(part)
-    return full.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")).select("k1", "k2", _joined("pieces").alias("runs"))
+        bodies = _bodies(docs, wanted.filter(F.col("large") == large))
+        if not large:  # staged, so the shuffle of the texts is done with before segments and pieces are shuffled
+            full = full.union(_whole_grams(shared.stage(bodies), ranges, spans))
+            continue
+        bodies = shared.stage(bodies.groupBy("gram", "name").agg(*[F.first(c).alias(c) for c in _BODY if c not in ("gram", "name")]))
+        for span in spans:
+            full = full.union(_large_grams(bodies, span, ranges))
+    pieces = [F.sort_array(F.collect_set(F.when(F.col("span") == span, F.struct("start", "end")))).alias(f"runs{span}") for span in spans]
+    return full.groupBy("k1", "k2").agg(*pieces).select("k1", "k2", *[_joined(f"runs{span}").alias(f"runs{span}") for span in spans])
 
 
 def _joined(pieces):
@@ -327,11 +346,12 @@ def _joined(pieces):
         return (F.when(acc.last.isNull(), F.struct(acc.done.alias("done"), piece.alias("last")))
                 .when(piece.start <= acc.last.end, F.struct(acc.done.alias("done"), grown.alias("last")))
                 .otherwise(F.struct(F.concat(acc.done, F.array(acc.last)).alias("done"), piece.alias("last"))))
-    return F.aggregate(pieces, start, step, lambda acc: F.concat(acc.done, F.array(acc.last)))
+    return F.aggregate(pieces, start, step, lambda acc: F.when(acc.last.isNull(), acc.done).otherwise(F.concat(acc.done, F.array(acc.last))))
 
 
-def _with_runs(docs, span, gram):
-    runs = shared.stage(repeated(docs, span, gram)).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+def _with_runs(docs, spans, gram):
+    """The rows with `__runs<span>` for each span: an array, empty or null where nothing of that length repeats."""
+    runs = shared.stage(repeated(docs, spans, gram)).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), *[F.col(f"runs{span}").alias(f"__runs{span}") for span in spans])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__a", F.xxhash64(text)).withColumn("__b", F.xxhash64(F.lit("second"), text))
     return keyed.join(runs, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left").drop("__a", "__b", "__k1", "__k2")
@@ -346,9 +366,13 @@ def kept_bytes(text, runs):
     return b"".join(parts)
 
 
-def digests(docs, span=SPAN, gram=GRAM):
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_runs(shared.documents(docs), span, gram)
+def digests(docs, span=SPAN, gram=GRAM, passage=None):
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With a `passage` of at most `span` bytes also n_passage_bytes: bytes covered by strings of that length that start twice. They are counted, not removed.
+    """
+    rows = _with_runs(shared.documents(docs), sorted({span, passage or span}), gram)
+    runs = F.col(f"__runs{span}")
 
     @F.arrow_udf("n_bytes long, kept long, sha string")
     def summed(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -357,9 +381,10 @@ def digests(docs, span=SPAN, gram=GRAM):
             kept = kept_bytes(text or b"", cut)
             out.append((len(text or b""), len(kept), hashlib.sha256(kept).hexdigest()))
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.string()))], ["n_bytes", "kept", "sha"])
-    rows = rows.withColumn("d", summed.asNondeterministic()(F.col("text").cast("binary"), F.col("__runs")))
+    rows = rows.withColumn("d", summed.asNondeterministic()(F.col("text").cast("binary"), runs))
+    counted = [] if passage is None else [F.aggregate(F.coalesce(f"__runs{passage}", F.array()), F.lit(0).cast("long"), lambda n, run: n + run.end - run.start).alias("n_passage_bytes")]
     return rows.select("doc_id", F.col("d.n_bytes").alias("n_bytes"), (F.col("d.n_bytes") - F.col("d.kept")).alias("n_removed"),
-                       F.coalesce(F.size("__runs"), F.lit(0)).cast("long").alias("n_spans"), F.col("d.sha").alias("kept_sha256"))
+                       F.coalesce(F.size(runs), F.lit(0)).cast("long").alias("n_spans"), F.col("d.sha").alias("kept_sha256"), *counted)
 
 
 def cut(docs, span=SPAN, gram=GRAM):
@@ -368,13 +393,14 @@ def cut(docs, span=SPAN, gram=GRAM):
     def cut_text(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array([None if text is None else text.decode("utf-8", "replace") if not run else kept_bytes(text, run).decode("utf-8", "ignore")
                          for text, run in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
-    rows = _with_runs(docs, span, gram)
-    text = F.when(F.col("__runs").isNotNull(), cut_text.asNondeterministic()(F.col("text").cast("string").cast("binary"), F.col("__runs"))).otherwise(F.col("text").cast("string"))
+    rows = _with_runs(docs, [span], gram)
+    runs = F.col(f"__runs{span}")
+    text = F.when(runs.isNotNull(), cut_text.asNondeterministic()(F.col("text").cast("string").cast("binary"), runs)).otherwise(F.col("text").cast("string"))
     return rows.withColumn("text", text).select(*docs.columns)
 
 
 def op4_suffix_dedup(spark, sf_dir):
-    return digests(shared.table(spark, sf_dir, "documents"))
+    return digests(shared.table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}

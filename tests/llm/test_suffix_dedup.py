@@ -74,6 +74,33 @@ def test_many_near_copies_of_one_text(spark, monkeypatch):
         assert rows_of(s.digests(documents(spark, docs), 60, 8), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("seed,size", [(0, None), (1, None), (2, None), (3, None), (3, 300), (1, 60)])
+def test_two_lengths_at_once_against_brute_force(spark, monkeypatch, seed, size):
+    """Passages shorter than the strings that go are counted beside them, and what goes stays as it is."""
+    if size:
+        monkeypatch.setattr(s, "RANGE_BYTES", size)
+    docs = corpus(seed, 24)
+    got = s.digests(documents(spark, docs), 24, 5, passage=15).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == plain(docs, 24)
+    assert sorted(((r["doc_id"], r["n_passage_bytes"]) for r in got), key=repr) == sorted(((r[0], r[2]) for r in plain(docs, 15)), key=repr)
+
+
+def test_query_reports_passages_of_fifty_words(spark, tmp_path):
+    """51 words in 250 to 399 bytes stay in the text, as strings of 400 bytes are asked for, but do not go unseen."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(4000)]
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+    passage = text(51)
+    assert 250 <= len(passage) < s.SPAN
+    docs = [(k, f"{text(90)}. {passage}! {text(90)}") for k in range(4)] + [(10 + k, text(230)) for k in range(4)]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in s.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[d]["n_removed"] for d, _ in docs] == [0] * 8
+    assert [got[d]["n_passage_bytes"] >= len(passage) for d, _ in docs] == [True] * 4 + [False] * 4
+    assert [got[d]["n_passage_bytes"] for d, _ in docs[4:]] == [0] * 4
+
+
 def test_sample_has_a_place_for_every_window():
     data = np.frombuffer(b"abracadabra" * 40 + bytes(range(256)) + b"z" * 90, np.uint8)
     parts = list(s.sample(data, 40, 8))
