@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groundwork import fixed
+from groundwork import fixed, session
 from groundwork.functions.numbers import decimal_of, number_errors, quantities, undated, unsupported
 from groundwork.functions.text import claim_key, source_ids
 from groundwork.operators import grounding
@@ -219,11 +219,12 @@ SELECT k AS claim_id, CAST(CASE WHEN pct = 50 THEN 0 ELSE 1 END AS BIGINT) AS pa
   CASE WHEN pct = 50 THEN '' ELSE 'Revenue was Rs ' || cents || ' crore, up ' || pct || ' percent.' END AS quotes FROM cl""")
 def evidence_attached(spark, sf):
     """Quotes of existing passages beside each claim, in cite order."""
+    def quoted(docs):
+        rows = grounding.attached(corpus.claims(docs), corpus.filing_units(docs, keep=("pack_id", "sid")))
+        return rows.select("claim_id", F.greatest(F.coalesce(F.size("evidence"), F.lit(0)), F.lit(0)).cast("bigint").alias("passages"),
+                           F.coalesce(joined(F.transform("evidence", lambda e: e["quote"]), "\n"), F.lit("")).alias("quotes"))
     docs = corpus.with_route(corpus.filings(spark, sf, keep=("s", "p", "cents", "pct")))
-    units = corpus.filing_units(docs, keep=("pack_id", "sid"))
-    rows = grounding.attached(corpus.claims(docs), units)
-    return rows.select("claim_id", F.greatest(F.coalesce(F.size("evidence"), F.lit(0)), F.lit(0)).cast("bigint").alias("passages"),
-                       F.coalesce(joined(F.transform("evidence", lambda e: e["quote"]), "\n"), F.lit("")).alias("quotes"))
+    return session.in_slices(quoted, "pack_id", docs)
 
 
 def drafts(spark, sf):
