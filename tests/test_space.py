@@ -94,7 +94,7 @@ def test_places_go_on_over_batches_and_ranges(spark):
 
 
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="tables not at hand")
-@pytest.mark.parametrize("name", ["evidence_attached", "verdict_resolution", "conflict_notices", "claim_error_rows", "cross_tier", "unjudged_claims", "evidence_payload"])
+@pytest.mark.parametrize("name", ["evidence_attached", "verdict_resolution", "conflict_notices", "claim_error_rows", "cross_tier", "unjudged_claims", "evidence_payload", "report_assembly"])
 def test_query_in_slices_agrees_with_sql(spark, monkeypatch, name):
     monkeypatch.setattr(session, "SLICE_BYTES", 70_000)
     made = []
